@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,8 +74,20 @@ def arrow_batches(spark: SparkSession, records: int):
         spark.conf.set(key, old)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that their
+    Python workers can import it wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if _runs.get("shipped") != app:
+        _runs["shipped"] = app
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="corvine-code-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/corvine", "zip", package.parent, package.name))
+
+
 def tune(spark: SparkSession) -> None:
     """Arrow batches of whole texts stay near 16 MB, however long the texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvine.llm.mixing import OP1_SQL, op1_mixing
 from corvine.llm.near_dup import op4_near_dup
+from corvine.llm.packing import op2_packing
+from corvine.llm.rules import OP8_SQL, op8_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_near_dup": op4_near_dup}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_packing": op2_packing,
+        "op4_near_dup": op4_near_dup,
+        "op8_quality_rules": op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL, "op8_quality_rules": OP8_SQL}
