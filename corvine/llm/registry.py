@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvine.llm.language import op5_language
 from corvine.llm.mixing import OP1_SQL, op1_mixing
 from corvine.llm.near_dup import op4_near_dup
 from corvine.llm.packing import op2_packing
 from corvine.llm.rules import OP8_SQL, op8_quality_rules
+from corvine.llm.secrets import op3_secrets
+from corvine.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_packing": op2_packing,
+        "op3_secrets": op3_secrets,
         "op4_near_dup": op4_near_dup,
+        "op5_language": op5_language,
         "op8_quality_rules": op8_quality_rules,
+        "op10_toxicity": op10_toxicity,
     }
 
 
