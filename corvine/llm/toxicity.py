@@ -3,16 +3,17 @@
 Learning: up to ``per_class`` labelled texts of either class, those with the
 smallest hashes of doc_id (a bound of the training set, not of what is scored).
 A word is a term if its log odds of being in a toxic text, less ``z`` standard
-errors, are over ``least``. Its count is that of its distinct neighbourhoods
-(the word before and the word after), so words of copied texts don't become
-terms. A weighted logistic regression then reads six context features of each
+errors, are over ``least``. Toxic texts count only as far as the word has distinct
+neighbourhoods (the word before and the word after) in them, so words of copied
+texts don't become terms. A weighted logistic regression then reads six context features of each
 text, with the classes weighted back to their shares among all labels.
 
 Matching: the terms form a trie. A word's Levenshtein automaton is run along the
 trie, so misspelled terms are found at one edit (terms of five letters or more;
-shorter ones must match). A word can only match if it starts with the first half
-or ends with the second half of a term (one of them is intact after one edit),
-which spares most words the walk; results of words are kept for the next text.
+shorter ones must match). The walk starts below a half of a term that the word has
+intact, from the front or from the back, as one edit leaves one half intact. Stems
+of four or five letters are terms as well, learned like words and matched by the
+start of a word without an edit. Results of words are kept for the next text.
 
 Context: hits inside quotation marks of one line, or within three words after a
 reporting verb, count as quotation. The features are the numbers of plain exact,
@@ -28,6 +29,7 @@ each; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from corvine.llm.common import only, tune, written
 from corvine.llm.language import remainder
 
-PER_CLASS = 8000
+PER_CLASS = 4000
+STEMS = (4, 5)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Quotation marks that open and close (fixed values).
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
@@ -48,45 +51,74 @@ REPORTING = frozenset(("said", "says", "wrote", "writes", "called", "calls", "qu
 WINDOW = 10
 
 
+def grown(terms: list[str]) -> dict:
+    """A trie by letters; ``None`` in a node holds the term that ends there."""
+    root: dict = {}
+    for t in terms:
+        node = root
+        for c in t:
+            node = node.setdefault(c, {})
+        node[None] = t
+    return root
+
+
 class Trie:
-    """Terms by letters; ``None`` in a node holds the term that ends there."""
+    """The terms forward and backward. One edit leaves the first or the second
+    half of a term intact, so the automaton starts below an intact half, in
+    either direction. Stems (terms that end in ``*``) are kept apart."""
 
     def __init__(self, terms: list[str]):
-        self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.short = {t for t in terms if len(t) < 5}
-        for t in terms:
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[None] = t
-            if len(t) >= 5:
-                half = len(t) // 2
-                self.heads.setdefault(half, set()).add(t[:half])
-                self.tails.setdefault(len(t) - half, set()).add(t[half:])
-        self.lengths = (min(map(len, terms), default=0) - 1, max(map(len, terms), default=0) + 1)
-
-    def likely(self, word: str) -> bool:
-        if not self.lengths[0] <= len(word) <= self.lengths[1]:
-            return False
-        return word in self.short or any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())
+        self.stems = {t[:-1] for t in terms if t.endswith("*")}
+        terms = [t for t in terms if not t.endswith("*")]
+        self.exact = set(terms)
+        long = [t for t in terms if len(t) >= 5]
+        self.ways = []
+        for turned in (False, True):
+            own = [t[::-1] for t in long] if turned else long
+            halves = {len(t) - len(t) // 2 if turned else len(t) // 2 for t in own}
+            roots: dict[int, dict[str, dict]] = {}
+            for n in sorted(halves):
+                under: dict[str, list[str]] = {}
+                for t in own:
+                    if (len(t) - len(t) // 2 if turned else len(t) // 2) == n:
+                        under.setdefault(t[:n], []).append(t)
+                roots[n] = {head: grown([t[n:] for t in rest]) for head, rest in under.items()}
+            self.ways.append((turned, list(roots.items())))
+        self.longest = max(map(len, terms), default=0) + 1
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its edits, ties to the smaller term."""
-        if not self.likely(word):
+        """The term that the word is, else its longest stem, else the smallest
+        term at one edit."""
+        if word in self.exact:
+            return word, 0
+        for n in reversed(STEMS):
+            if len(word) > n and word[:n] in self.stems:
+                return f"{word[:n]}*", 0
+        if not 4 <= len(word) <= self.longest:
             return None
-        best: tuple[int, str] | None = None
-        stack = [(self.root, close({0: 0}, word))]
-        while stack:
-            node, states = stack.pop()
-            term = node.get(None)
-            if term is not None and (e := states.get(len(word), 2)) <= (len(term) >= 5) and (best is None or (e, term) < best):
-                best = (e, term)
-            for c, below in node.items():
-                if c is not None and (after := step(states, c, word)):
-                    stack.append((below, after))
-        return (best[1], best[0]) if best else None
+        near = None
+        for turned, roots in self.ways:
+            own = word[::-1] if turned else word
+            for n, heads in roots:
+                if below := heads.get(own[:n]):
+                    for tail in walk(below, own[n:]):
+                        term = (own[:n] + tail)[::-1] if turned else own[:n] + tail
+                        near = term if near is None or term < near else near
+        return (near, 1) if near else None
+
+
+def walk(root: dict, word: str) -> Iterator[str]:
+    """The intersection of a trie with the Levenshtein automaton of ``word`` for
+    one edit."""
+    stack = [(root, close({0: 0}, word))]
+    while stack:
+        node, states = stack.pop()
+        for c, below in node.items():
+            if c is None:
+                if states.get(len(word), 2) <= 1:
+                    yield below
+            elif after := step(states, c, word):
+                stack.append((below, after))
 
 
 def close(states: dict[int, int], word: str) -> dict[int, int]:
@@ -178,18 +210,25 @@ class Lexicon:
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, context, n): neighbourhoods in toxic texts, text counts else."""
+    """(word, toxic, context, n): the number of texts with a word, in toxic texts
+    dealt to the neighbourhood where each text has it first."""
     plain: Counter = Counter()
     for b in batches:
-        out = []
+        out: dict[tuple[str, int], int] = {}
         for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
             found = LETTERS.findall((text or "").lower())
             if toxic:
-                around = ["", *found, ""]
-                out += {(w, f"{around[i]} {around[i + 2]}") for i, w in enumerate(found)}
+                around, new = ["", *found, ""], set()
+                for i, w in enumerate(found):
+                    near = zlib.crc32(f"{around[i]} {around[i + 2]}".encode())
+                    for x in (w, *(f"{w[:n]}*" for n in STEMS if len(w) > n)):
+                        out[x, near] = out.get((x, near), 0) + (x not in new)
+                        new.add(x)
             else:
-                plain.update(set(found))
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([1] * len(out), pa.int32()), pa.array([c for _, c in out], pa.string()), pa.array([1] * len(out), pa.int64())], ["word", "toxic", "context", "n"])
+                words = set(found)
+                plain.update(words)
+                plain.update({f"{w[:n]}*" for w in words for n in STEMS if len(w) > n})
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([1] * len(out), pa.int32()), pa.array([c for _, c in out], pa.int64()), pa.array(list(out.values()), pa.int64())], ["word", "toxic", "context", "n"])
         if len(plain) > 500_000:
             yield _plain(plain)
             plain.clear()
@@ -198,7 +237,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _plain(counts: Counter) -> pa.RecordBatch:
     k = len(counts)
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([0] * k, pa.int32()), pa.nulls(k, pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "toxic", "context", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([0] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["word", "toxic", "context", "n"])
 
 
 def _features(lexicon: Lexicon):
@@ -210,7 +249,7 @@ def _features(lexicon: Lexicon):
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.002) -> np.ndarray:
     """Coefficients, intercept last, by damped Newton steps."""
     x = np.column_stack((x, np.ones(len(x))))
     weight = weight / weight.sum()
@@ -239,7 +278,7 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, z: float = 1.5, least: float = 1.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, z: float = 1.8, least: float = 1.0) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), all
     of which may be learned from. Contradicting labels of an id count as toxic."""
     spark = docs.sparkSession
@@ -255,11 +294,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, z: flo
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model(Lexicon({}), np.zeros(7), base)
-    by_word = sample.mapInArrow(_words_of, "word string, toxic int, context string, n long")
-    pairs = by_word.where("toxic = 1").groupBy("word", F.xxhash64("context").alias("context")).agg(F.sum("n").alias("n"))
-    bad = pairs.groupBy("word").agg(F.count("*").alias("k1"))
+    by_word = sample.mapInArrow(_words_of, "word string, toxic int, context long, n long")
+    pairs = by_word.where("toxic = 1").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    bad = pairs.groupBy("word").agg(F.least(F.sum("n"), F.count("*")).alias("k1"))
     good = by_word.where("toxic = 0").groupBy("word").agg(F.sum("n").alias("k0"))
-    both = bad.where("k1 > 1").join(good, "word", "left").withColumn("k0", F.coalesce("k0", F.lit(0))).withColumn("k1", F.least("k1", F.lit(n[1])))
+    both = bad.where("k1 > 1").join(good, "word", "left").withColumn("k0", F.coalesce("k0", F.lit(0)))
     odds = F.log((F.col("k1") + 0.5) / (n[1] + 1)) - F.log((F.col("k0") + 0.5) / (n[0] + 1))
     error = F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k0") + 0.5))
     terms = both.withColumn("odds", odds).where(F.col("odds") - z * error > least).select("word", "odds").collect()
