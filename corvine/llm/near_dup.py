@@ -11,10 +11,12 @@ words than a shingle: the whole sequence; no word: empty, linked to nothing).
    exact copies cost one row each and no pair.
 3. 25 bands of 5 compressed registers propose pairs. A pair of similarity 0.85
    shares a band with probability 1 - 4e-7. Buckets of up to 24 classes give
-   all pairs. Larger ones give pairs with four common members, and after
-   components are known, the pairs of every member outside its bucket's largest
-   component with the members of other components: all pairs of a bucket that
-   could still join two components are tested, whatever its size.
+   all pairs. Larger ones give pairs with four common members.
+   Once components are known, what stands outside the largest component of a
+   larger bucket is joined exactly with all members of such buckets: by a prefix
+   filter in rarest-first order with positions and size classes. In a family of
+   near copies that are no links, the rarest shingles are each text's own edits,
+   so its members share no prefix and give no pairs, however many they are.
 4. A collision-corrected Jaccard estimate from the registers drops a pair only
    when it is five standard errors below the threshold.
 5. Links are confirmed on the full shingle sets, and components follow from
@@ -27,10 +29,13 @@ a doc_id are one node (same component). Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +165,79 @@ def _confirm(width: int, percent: int):
     return run
 
 
+SLOTS = 1 << 20
+CLASS = 0.03  # width of a size class, in logarithms
+
+
+def _frequencies(width: int):
+    """One row a task: how often each of 2**20 slots of shingles occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int32)
+        for b in batches:
+            for _, _, data, offs in words.each_part(b.column("text")):
+                for s in shingles(data, offs, width):
+                    total[(s & _U(SLOTS - 1)).astype(np.int64)] += 1
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(c), np.int32) for c in pdf["counts"])
+    return pd.DataFrame({"part": [0], "counts": [zlib.compress(total.astype(np.int32).tobytes(), 1)]})
+
+
+def _prefixes(shared, width: int, percent: int):
+    """(token, n, i, cid, comp, minor): the shingles of a text, rarest first, up
+    to the last position that a link of any size could have first in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(zlib.decompress(shared.value), np.int32)
+        for b in batches:
+            sets = [s for _, _, data, offs in words.each_part(b.column("text")) for s in shingles(data, offs, width)]
+            out = []
+            for s in sets:
+                order = np.lexsort((s, often[(s & _U(SLOTS - 1)).astype(np.int64)]))
+                out.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
+            sizes = [len(x) for x in out]
+            rows = np.repeat(np.arange(len(out)), sizes)
+            at = np.concatenate([np.arange(k) for k in sizes]) if out else np.zeros(0, int)
+            token = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            n = np.array([len(s) for s in sets], np.int64)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n[rows] if len(rows) else [], pa.int64()), pa.array(at, pa.int64()), *[b.column(c).take(take) for c in ("cid", "comp", "minor")]], ["token", "n", "i", "cid", "comp", "minor"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that hold every link between a minor text and a text of
+    another component. ``texts``: cid, comp, minor, text.
+
+    A pair's first common shingle at positions i and j leaves at most
+    min(na - i, nb - j) in common, and a link needs t / (1 + t) * (na + nb). For a
+    minor text's position this bounds the partner's size, and the join is on
+    shingle and size class."""
+    spark = texts.sparkSession
+    found = texts.mapInArrow(_frequencies(width), "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary")
+    parts = [zlib.decompress(r["counts"]) for r in found.collect()]  # 16 rows of at most 4 MB
+    total = sum((np.frombuffer(c, np.int32) for c in parts), np.zeros(SLOTS, np.int32)).astype(np.int32)
+    shared = spark.sparkContext.broadcast(zlib.compress(total.tobytes(), 1))
+    posts = written(texts.mapInArrow(_prefixes(shared, width, percent), "token long, n long, i long, cid long, comp long, minor boolean"), "prefixes")
+    t = percent / 100
+    need = t / (1 + t)
+    size_class = lambda c: F.floor(F.log(c) / CLASS)
+    x = posts.where("minor").select("token", F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("cid").alias("x"), F.col("comp").alias("cx"))
+    x = x.withColumn("least", F.col("nx") * t - 1e-6).withColumn("most", F.least(F.col("nx") / t, (F.col("nx") - F.col("ix")) / need - F.col("nx")) + 1e-6)
+    x = x.where("most >= least and most >= 1").withColumn("class", F.explode(F.sequence(size_class(F.greatest("least", F.lit(1.0))), size_class("most"))))
+    y = posts.select("token", size_class("n").alias("class"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("cid").alias("y"), F.col("comp").alias("cy"))
+    fits = F.col("ny").between(F.col("least"), F.col("most")) & (F.col("ny") - F.col("iy") >= need * (F.col("nx") + F.col("ny")) - 1e-6)
+    met = x.join(y, ["token", "class"]).where((F.col("cx") != F.col("cy")) & fits)
+    return _ordered(met, F.col("x"), F.col("y")).distinct()
+
+
 def _ordered(df: DataFrame, x: Column, y: Column) -> DataFrame:
     return df.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -234,11 +312,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     by_comp = written(tagged.groupBy("key", "comp").agg(F.count("*").alias("k")), "bycomp")
     main = by_comp.groupBy("key").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1")
     if main.limit(1).count():
-        open_ = written(tagged.join(main.select("key", "main"), "key"), "open")
-        few = open_.where("comp <> main").select("key", F.col("cid").alias("x"), F.col("n").alias("na"), F.col("comp").alias("cx"))
-        rest = open_.select("key", F.col("cid").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cy"), "main")
-        crossing = few.join(rest, "key").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))).where(_near_in_size(percent))
-        crossing = _ordered(crossing, F.col("x"), F.col("y")).distinct().join(tested, ["a", "b"], "left_anti")
+        outside = tagged.join(main.select("key", "main"), "key").groupBy("cid").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("minor"))
+        texts = docs.join(outside.withColumnRenamed("cid", "doc_id"), "doc_id").select(F.col("doc_id").alias("cid"), "comp", "minor", "text")
+        crossing = prefix_pairs(written(texts, "open"), width, percent).join(tested, ["a", "b"], "left_anti")
         _, more = confirmed(crossing)
         if more.limit(1).count():
             comps = components(links.union(more))
