@@ -13,6 +13,7 @@ from corvine.llm.packing import op2_packing
 from corvine.llm.rules import OP8_SQL, op8_quality_rules
 from corvine.llm.secrets import op3_secrets
 from corvine.llm.toxicity import op10_toxicity
+from corvine.llm.warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_near_dup": op4_near_dup,
         "op5_language": op5_language,
+        "op7_warc": op7_warc,
         "op8_quality_rules": op8_quality_rules,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op1_mixing": OP1_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
