@@ -11,7 +11,8 @@ words than a shingle: the whole sequence; no word: empty, linked to nothing).
    exact copies cost one row each and no pair.
 3. 25 bands of 5 compressed registers propose pairs. A pair of similarity 0.85
    shares a band with probability 1 - 4e-7. Buckets of up to 24 classes give
-   all pairs. Larger ones give pairs with four common members.
+   all pairs. Larger ones give pairs with two common members (the one that is in
+   most large buckets, and one by hash).
    Once components are known, what stands outside the largest component of a
    larger bucket is joined exactly with all members of such buckets: by a prefix
    filter in rarest-first order with positions and size classes. In a family of
@@ -44,7 +45,7 @@ from corvine.llm.common import only, tune, written
 
 BUCKETS, MANTISSA, BANDS, ROWS = 128, 10, 25, 5
 SMALL_BUCKET = 24
-HUBS = 4
+HUBS = 1
 _U = np.uint64
 _REST = 64 - 7  # bits below the bucket's
 
@@ -280,31 +281,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     step = 2 * ROWS
     keys = [F.xxhash64(F.substring("dense", 1 + step * k, step), F.lit(k)) for k in range(BANDS)]
     members = nodes.select("cid", "n", F.explode(F.array(*keys)).alias("key"))
-    hubs = [F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid"))["cid"].alias(f"hub{k}") for k in range(HUBS)]
-    found = members.groupBy("key").agg(F.count("*").alias("k"), F.min("cid").alias("x"), F.max("cid").alias("y"), *hubs).where("k > 1")
+    found = members.groupBy("key").agg(F.count("*").alias("k"), F.min("cid").alias("x"), F.max("cid").alias("y")).where("k > 1")
     found = written(found, "buckets")
     pairs = _ordered(found.where("k = 2"), F.col("x"), F.col("y"))
-    crowded = written(members.join(found.where("k > 2"), "key"), "crowded")
+    crowded = written(members.join(found.where("k > 2").select("key", "k"), "key"), "crowded")
     lists = crowded.where(f"k <= {SMALL_BUCKET}").groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("all"))
     lists = lists.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
     pairs = pairs.union(_ordered(lists, F.col("x"), F.col("y")))
     large = crowded.where(f"k > {SMALL_BUCKET}")
-    star = large.select("cid", F.explode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("y"))
+    # the member of most large buckets is the one that the others are copies of, as far as there is one
+    large = written(large.join(large.groupBy("cid").agg(F.count("*").alias("degree")), "cid"), "large")
+    central = F.max(F.struct("degree", F.xxhash64("cid"), "cid"))["cid"]
+    others = [F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid"))["cid"] for k in range(HUBS)]
+    hubs = large.groupBy("key").agg(F.array(central, *others).alias("hubs"))
+    star = large.join(hubs, "key").select("cid", F.explode("hubs").alias("y"))
     pairs = pairs.union(_ordered(star, F.col("cid"), F.col("y")))
 
-    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Distinct pairs, and those of them that are links."""
-        pairs = written(pairs.distinct(), "pairs")
-        side = lambda s: nodes.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("dense").alias(f"d{s}"), F.col("empty").alias(f"e{s}"))
-        wide = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_in_size(percent))
-        likely = written(wide.mapInArrow(_likely(percent), "a long, b long"), "likely")
+    def confirmed(likely: DataFrame) -> DataFrame:
+        """The links among distinct pairs."""
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
         texts = written(docs.join(wanted, "doc_id", "left_semi"), "texts")
-        texts = texts.select("doc_id", "text")
         both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return pairs, written(both.mapInArrow(_confirm(width, percent), "a long, b long"), "links")
+        return written(both.mapInArrow(_confirm(width, percent), "a long, b long"), "links")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        """The pairs that may be links, by size and registers."""
+        side = lambda s: nodes.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("dense").alias(f"d{s}"), F.col("empty").alias(f"e{s}"))
+        wide = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_in_size(percent))
+        return written(wide.mapInArrow(_likely(percent), "a long, b long"), "likely")
 
-    tested, links = confirmed(pairs)
+    tested = written(pairs.distinct(), "pairs")
+    links = confirmed(estimated(tested))
     comps = components(links)
 
     # buckets with several components left: what stands outside the largest is compared with the rest
@@ -315,7 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         outside = tagged.join(main.select("key", "main"), "key").groupBy("cid").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("minor"))
         texts = docs.join(outside.withColumnRenamed("cid", "doc_id"), "doc_id").select(F.col("doc_id").alias("cid"), "comp", "minor", "text")
         crossing = prefix_pairs(written(texts, "open"), width, percent).join(tested, ["a", "b"], "left_anti")
-        _, more = confirmed(crossing)
+        more = confirmed(written(crossing, "crossing"))
         if more.limit(1).count():
             comps = components(links.union(more))
 
