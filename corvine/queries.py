@@ -267,7 +267,7 @@ rc AS (SELECT *, coalesce(sum(named) OVER (PARTITION BY path, run ORDER BY s ROW
 rd AS (SELECT *, sum(CASE WHEN rs = 1 OR named = 1 AND nb >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s ROWS UNBOUNDED PRECEDING) AS grp FROM rc),
 merged AS (SELECT path, grp, min(s) AS start_line, max(e) AS end_line, coalesce(min_by(symbol, s) FILTER (symbol <> ''), '') AS symbol, sum(size)::BIGINT AS size FROM rd GROUP BY path, grp)"""
 _FNV = "lpad(lower(to_hex((list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({}, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::HUGEINT))::UBIGINT)), 16, '0')"
-_CHUNKS = f"chunks AS (SELECT m.path, start_line, end_line, symbol, size, {_FNV.format(chr(39).join(['path || ', ':', ' || start_line || ', ':', ' || end_line']))} AS chunk_id, md5(t.text) AS text_md5, t.text FROM merged m JOIN (SELECT m.path, m.grp, string_agg(line || chr(10), '' ORDER BY ln) AS text FROM merged m JOIN lines l ON l.path = m.path AND l.ln BETWEEN m.start_line AND m.end_line GROUP BY m.path, m.grp) t ON t.path = m.path AND t.grp = m.grp WHERE translate(t.text, ' ' || chr(9) || chr(13) || chr(10), '') <> '')"
+_CHUNKS = f"chunks AS (SELECT m.path, start_line, end_line, symbol, size, {_FNV.format(chr(39).join(['m.path || ', ':', ' || start_line || ', ':', ' || end_line']))} AS chunk_id, md5(t.text) AS text_md5, t.text FROM merged m JOIN (SELECT m.path, m.grp, string_agg(line || chr(10), '' ORDER BY ln) AS text FROM merged m JOIN lines l ON l.path = m.path AND l.ln BETWEEN m.start_line AND m.end_line GROUP BY m.path, m.grp) t ON t.path = m.path AND t.grp = m.grp WHERE translate(t.text, ' ' || chr(9) || chr(13) || chr(10), '') <> '')"
 
 
 def _stage(ext: str | None, upto: str) -> str:
@@ -416,23 +416,23 @@ def p11(spark, sf):
 
 
 _VOTES = "list_transform(regexp_extract_all({}, '[a-z0-9_]+'), lambda w: ('0x' || md5(w)[1:4])::INT)"
-_VECTOR = "list_transform(range(64), lambda k: list_sum(list_prepend(0.0::DOUBLE, list_transform(list_filter({0}, lambda v: v % 64 = k), lambda v: CASE WHEN (v // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END))))"
+_VECTOR = "list_transform(range(64), lambda k: list_sum(list_prepend(0.0::DOUBLE, list_transform(list_filter(votes, lambda v: v % 64 = k), lambda v: CASE WHEN (v // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END))))"
 
 
-def _embed_sql(column: str) -> str:
-    return _VECTOR.format(_VOTES.format(LOW.format(column)))
+def _votes_sql(column: str) -> str:
+    return _VOTES.format(LOW.format(column)) + " AS votes"
 
 
 _SCORE = "CASE WHEN list_dot_product({0}, {0}) >= 1e-12 THEN round(list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0})) / sqrt(list_dot_product({1}, {1})), 6) + 0.0 END"
 
 
-@query("t1_search_code", _stage("py", "chunks") + f", {_PROJECT}, v AS (SELECT *, {_embed_sql('text')} AS v FROM all_chunks), q AS (SELECT {_embed_sql(chr(39) + 'def item_2 total value lookup region' + chr(39))} AS q), s AS (SELECT project, chunk_id, path AS file_path, symbol AS symbol_name, {_SCORE.format('v', 'q')} AS score FROM v CROSS JOIN q) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, project, chunk_id LIMIT 10")
+@query("t1_search_code", _stage("py", "chunks") + f", {_PROJECT}, vo AS MATERIALIZED (SELECT *, {_votes_sql('text')} FROM all_chunks), v AS MATERIALIZED (SELECT *, {_VECTOR} AS v FROM vo), q AS MATERIALIZED (SELECT {_VECTOR} AS q FROM (SELECT {_votes_sql(chr(39) + 'def item_2 total value lookup region' + chr(39))})), s AS (SELECT project, chunk_id, path AS file_path, symbol AS symbol_name, {_SCORE.format('v', 'q')} AS score FROM v CROSS JOIN q) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, project, chunk_id LIMIT 10")
 def t1(spark, sf):
     c = _chunks(spark, sf)
     return tools.search_code(c, tools.embedded(c), "def item_2 total value lookup region", 10).select("project", "chunk_id", "file_path", "symbol_name", "score")
 
 
-@query("t3_get_context", _stage("py", "chunks") + f", {_PROJECT}, v AS (SELECT *, {_embed_sql('text')} AS v FROM all_chunks), loc AS (SELECT * FROM v WHERE {LOW.format('path')} = 'src/order_7.py' AND NOT (end_line < 1 OR start_line > 30)), seed AS (SELECT project, arg_min(v, (start_line, chunk_id)) AS q FROM loc GROUP BY project), s AS (SELECT v.project, v.chunk_id, v.path, {_SCORE.format('v.v', 'q')} AS score FROM v JOIN seed USING (project)), b AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, chunk_id) AS r FROM s WHERE score IS NOT NULL QUALIFY r <= 5) SELECT 'local' AS relation, project, path AS file_path, chunk_id, NULL::DOUBLE AS score FROM loc UNION ALL SELECT 'related', project, path, chunk_id, score FROM b WHERE chunk_id NOT IN (SELECT chunk_id FROM loc)")
+@query("t3_get_context", _stage("py", "chunks") + f", {_PROJECT}, vo AS MATERIALIZED (SELECT *, {_votes_sql('text')} FROM all_chunks), v AS MATERIALIZED (SELECT *, {_VECTOR} AS v FROM vo), loc AS (SELECT * FROM v WHERE {LOW.format('path')} = 'src/order_7.py' AND NOT (end_line < 1 OR start_line > 30)), seed AS (SELECT project, arg_min(v, (start_line, chunk_id)) AS q FROM loc GROUP BY project), s AS (SELECT v.project, v.chunk_id, v.path, {_SCORE.format('v.v', 'q')} AS score FROM v JOIN seed USING (project)), b AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, chunk_id) AS r FROM s WHERE score IS NOT NULL QUALIFY r <= 5) SELECT 'local' AS relation, project, path AS file_path, chunk_id, NULL::DOUBLE AS score FROM loc UNION ALL SELECT 'related', project, path, chunk_id, score FROM b WHERE chunk_id NOT IN (SELECT chunk_id FROM loc)")
 def t3(spark, sf):
     c = _chunks(spark, sf)
     return tools.get_context(c, tools.embedded(c), "src/order_7.py", 10, 20).select("relation", "project", "file_path", "chunk_id", "score")
@@ -523,7 +523,7 @@ def l5(spark, sf):
     return tools.get_session_memory([s.where("conv_id % 2 = 0").withColumn("store", F.lit("first")), s.withColumn("store", F.lit("second"))]).select("id", "store")
 
 
-@query("v7_session_vectors", f"WITH {_SESS}, v AS (SELECT id, {_embed_sql(_F11)} AS v FROM sessions), q AS (SELECT v AS q FROM v WHERE id = '000000000000'), s AS (SELECT id, {_SCORE.format('v', 'q')} AS score FROM v CROSS JOIN q) SELECT id, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 5")
+@query("v7_session_vectors", f"WITH {_SESS}, vo AS MATERIALIZED (SELECT id, {_votes_sql(_F11)} FROM sessions), v AS MATERIALIZED (SELECT id, {_VECTOR} AS v FROM vo), q AS (SELECT v AS q FROM v WHERE id = '000000000000'), s AS (SELECT id, {_SCORE.format('v', 'q')} AS score FROM v CROSS JOIN q) SELECT id, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 5")
 def v7(spark, sf):
     e = embed.HashingEmbedder()
     s = _sessions(spark, sf)
