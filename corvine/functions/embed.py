@@ -1,12 +1,14 @@
 """Embedders: text in, array<float> out.
 
-The default is a hashing embedder that is one expression: every word votes for a
-slot with a sign, both from its MD5. It needs no model and equals what SQL makes
-of the same formula. ``OnnxEmbedder`` runs a model where there is one.
+The default is a hashing embedder: every word votes for a slot with a sign, both
+from its MD5. It needs no model and equals what SQL makes of the same formula.
+``OnnxEmbedder`` runs a model where there is one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,23 +22,36 @@ SLOTS = 64
 
 
 class HashingEmbedder:
+    """Words (runs of a-z, digits and underscores after ASCII lower-casing) are
+    hashed in the JVM; the votes are counted by Arrow batches."""
+
     model_name = "hashing"
 
     def __init__(self, slots: int = SLOTS):
         self.dimension = slots
 
     def embed(self, text: Column) -> Column:
-        """Counts of signed slots, not yet of length one; words are runs of
-        letters, digits and underscores."""
+        """Counts of signed slots, not yet of length one."""
         words = F.regexp_extract_all(ascii_lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
         votes = F.transform(words, lambda w: F.conv(F.substr(F.md5(w), F.lit(1), F.lit(4)), 16, 10).cast("int"))
         slots = self.dimension
 
-        def count(k: Column) -> Column:
-            own = F.filter(votes, lambda v: v % slots == k)
-            return F.aggregate(own, F.lit(0.0), lambda s, v: s + F.when(F.floor(v / slots) % 2 == 0, 1.0).otherwise(-1.0))
+        @F.pandas_udf("array<double>")
+        def count(rows: pd.Series) -> pd.Series:
+            return pd.Series([counted(np.asarray(v, np.int64), slots) for v in rows])
+
+        return count(votes)
+
+    def embed_text(self, text: str) -> list[float]:
+        """The same of one text on the driver."""
+        low = text.translate({c: c + 32 for c in range(65, 91)})
+        votes = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in re.findall("[a-z0-9_]+", low)]
+        return counted(np.array(votes, np.int64), self.dimension)
+
 
-        return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), count)
+def counted(votes: np.ndarray, slots: int) -> list[float]:
+    sign = np.where((votes // slots) % 2 == 0, 1.0, -1.0)
+    return (np.bincount(votes % slots, weights=sign, minlength=slots) + 0.0).tolist()
 
 
 def mean_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ class WordPiece:
 
 def wordpiece_ids(text: Column, vocabulary: WordPiece, max_length: int = 512) -> Column:
     """F7, F8 over a column: array<long>, by Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: vocabulary.encode(t or "", max_length))

@@ -38,18 +38,20 @@ def _by_path() -> Window:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(path, ln, line), numbered from 1; a line end closes a line, and one
-    carriage return before it goes. Empty files have no lines."""
+    """(path, lang, ln, line), numbered from 1; a line end closes a line, and
+    one carriage return before it goes. Empty files have no lines. The language
+    is found once a file, not once a line."""
     parts = F.split("content", "\n", -1)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     some = files.where(F.octet_length("content") > 0)
-    return some.select("path", F.posexplode(parts).alias("ln", "line")).select("path", (F.col("ln") + 1).alias("ln"), F.regexp_replace("line", "\r$", "").alias("line"))
+    line = F.when(F.endswith("line", F.lit("\r")), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
+    return some.select("path", language(F.col("path")).alias("lang"), F.posexplode(parts).alias("ln", "line")).select("path", "lang", (F.col("ln") + 1).alias("ln"), line.alias("line"))
 
 
 def boundaries(rows: DataFrame) -> DataFrame:
     """Lines with ``symbol``: null inside a block, '' for a block without
     a name. Languages without patterns start blocks after blank lines."""
-    lang = language(F.col("path"))
+    lang = F.col("lang")
     after_blank = F.coalesce(F.lag(is_blank(F.col("line"))).over(_by_path()), F.lit(True)) & ~is_blank(F.col("line"))
     symbol = F.when(lang.isin(list(PATTERNS)), symbol_of(F.col("line"), lang)).otherwise(F.when(after_blank, F.lit("")))
     return rows.withColumn("symbol", symbol)
@@ -58,9 +60,9 @@ def boundaries(rows: DataFrame) -> DataFrame:
 def blocks(marked: DataFrame) -> DataFrame:
     """C4: (path, blk, start_line, end_line, symbol, lines, size)."""
     numbered = marked.withColumn("blk", F.sum(F.col("symbol").isNotNull().cast("int")).over(_by_path()))
-    block = numbered.groupBy("path", "blk").agg(F.min("ln").alias("start_line"), F.max("ln").alias("end_line"), F.coalesce(F.max("symbol"), F.lit("")).alias("symbol"), F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("rows"))
+    block = numbered.groupBy("path", "blk").agg(F.min("ln").alias("start_line"), F.max("ln").alias("end_line"), F.coalesce(F.max("symbol"), F.lit("")).alias("symbol"), F.sum(F.octet_length("line") + 1).cast("int").alias("size"), F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("rows"))
     own = F.transform("rows", lambda r: r["line"])
-    return block.select("path", "blk", "start_line", "end_line", "symbol", own.alias("lines")).withColumn("size", _size(F.col("lines")))
+    return block.select("path", "blk", "start_line", "end_line", "symbol", own.alias("lines"), "size")
 
 
 def _size(xs: Column) -> Column:
@@ -90,8 +92,10 @@ def pieces(block: DataFrame, limits: Limits = Limits()) -> DataFrame:
     cut = block.withColumn("ends", ends).select("*", F.posexplode("ends").alias("piece", "stop"))
     first = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.get("ends", F.col("piece") - 1))
     cut = cut.withColumn("first", first)
-    own = F.slice("lines", F.col("first") + 1, F.col("stop") - F.col("first"))
-    return cut.select("path", "blk", "piece", (F.col("start_line") + F.col("first")).alias("start_line"), (F.col("start_line") + F.col("stop") - 1).alias("end_line"), F.when(F.col("piece") == 0, F.col("symbol")).otherwise("").alias("symbol"), own.alias("lines"), _size(own).alias("size"))
+    whole = F.size("ends") == 1
+    own = F.when(whole, F.col("lines")).otherwise(F.slice("lines", F.col("first") + 1, F.col("stop") - F.col("first")))
+    cut = cut.withColumn("own", own)
+    return cut.select("path", "blk", "piece", (F.col("start_line") + F.col("first")).alias("start_line"), (F.col("start_line") + F.col("stop") - 1).alias("end_line"), F.when(F.col("piece") == 0, F.col("symbol")).otherwise("").alias("symbol"), F.col("own").alias("lines"), F.when(whole, F.col("size")).otherwise(_size(F.col("own"))).alias("size"))
 
 
 def merged(piece: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -25,8 +25,8 @@ def output_rows(rows: DataFrame, root: Column, many_projects: bool = False) -> D
 def embedded(chunks: DataFrame, embedder: HashingEmbedder | None = None) -> DataFrame:
     """(project, chunk_id, v) of chunk texts; texts without a word have
     a null vector and stay findable by symbol."""
-    v = (embedder or HashingEmbedder()).embed(F.col("source_text"))
-    return chunks.select("project", "chunk_id", l2_normalize(v).alias("v"))
+    raw = chunks.select("project", "chunk_id", (embedder or HashingEmbedder()).embed(F.col("source_text")).alias("v"))
+    return raw.withColumn("v", l2_normalize(F.col("v")))
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -41,7 +41,11 @@ def search_code(chunks: DataFrame, vectors: DataFrame, query: str, limit: int =
         raise ValueError("query is required")
     if limit < 0:
         raise ValueError("limit is negative")
-    wanted = l2_normalize((embedder or HashingEmbedder()).embed(F.lit(query)))
+    q = (embedder or HashingEmbedder()).embed_text(query)
+    length = sum(x * x for x in q) ** 0.5
+    if not length:
+        raise ValueError("query has no words")
+    wanted = F.array(*[F.lit(x / length) for x in q])
     hits = searched(vectors, wanted, limit, ["project", "chunk_id"]).select("project", "chunk_id", "score")
     return with_chunks(hits, chunks).orderBy(F.desc("score"), "project", "chunk_id")
 
