@@ -167,7 +167,7 @@ def _confirm(width: int, percent: int):
 
 
 SLOTS = 1 << 20
-CLASS = 0.03  # width of a size class, in logarithms
+CLASS = 0.1  # width of a size class, in logarithms
 
 
 def _frequencies(width: int):
@@ -192,19 +192,22 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _prefixes(shared, width: int, percent: int):
     """(token, n, i, cid, comp, minor): the shingles of a text, rarest first, up
-    to the last position that a link of any size could have first in common."""
+    to the last position that a link of any size could have first in common,
+    without those that no other text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(zlib.decompress(shared.value), np.int32)
         for b in batches:
             sets = [s for _, _, data, offs in words.each_part(b.column("text")) for s in shingles(data, offs, width)]
-            out = []
+            out, places = [], []
             for s in sets:
-                order = np.lexsort((s, often[(s & _U(SLOTS - 1)).astype(np.int64)]))
-                out.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
-            sizes = [len(x) for x in out]
-            rows = np.repeat(np.arange(len(out)), sizes)
-            at = np.concatenate([np.arange(k) for k in sizes]) if out else np.zeros(0, int)
+                count = often[(s & _U(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((s, count))[: len(s) - -(-percent * len(s) // 100) + 1]
+                met = np.flatnonzero(count[order] > 1)
+                out.append(s[order[met]])
+                places.append(met)
+            rows = np.repeat(np.arange(len(out)), [len(x) for x in out])
+            at = np.concatenate(places) if out else np.zeros(0, int)
             token = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
             n = np.array([len(s) for s in sets], np.int64)
             take = pa.array(rows, pa.int64())
