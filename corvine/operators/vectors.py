@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.functions.text import dot, l2_normalize
+from corvine.session import ship
 
 QUERY_BLOCK = 4096
 
@@ -52,6 +53,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     (query_id, v), cosine scores rounded to 6 places, ties to the smaller id.
     Queries go to the driver a block at a time and from there to all tasks."""
     spark = vectors.sparkSession
+    ship(spark)
     count = queries.count()
     cut = queries.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)) if count > QUERY_BLOCK else queries.withColumn("_block", F.lit(0))
     usable = vectors.where(dot(F.col("v"), F.col("v")) >= 1e-12)
@@ -107,6 +109,7 @@ def clusters(vectors: DataFrame, cells: int, rounds: int = 8, sample: int = 20_0
 def with_cells(rows: DataFrame, centre: np.ndarray, keep: int, column: str = "cell") -> DataFrame:
     """Each row of (id, v) once for each of its ``keep`` nearest cells."""
     names = rows.columns
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,6 +9,7 @@ from corvine.functions.embed import HashingEmbedder
 from corvine.functions.text import ascii_lower, basename, contains_all_words, contains_icase, dot, l2_normalize, relative_path, session_keywords
 from corvine.operators.changes import first_wins
 from corvine.operators.vectors import ranked, searched
+from corvine.session import ship
 
 
 def output_rows(rows: DataFrame, root: Column, many_projects: bool = False) -> DataFrame:
@@ -25,6 +26,7 @@ def output_rows(rows: DataFrame, root: Column, many_projects: bool = False) -> D
 def embedded(chunks: DataFrame, embedder: HashingEmbedder | None = None) -> DataFrame:
     """(project, chunk_id, v) of chunk texts; texts without a word have
     a null vector and stay findable by symbol."""
+    ship(chunks.sparkSession)
     raw = chunks.select("project", "chunk_id", (embedder or HashingEmbedder()).embed(F.col("source_text")).alias("v"))
     return raw.withColumn("v", l2_normalize(F.col("v")))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corvine.functions import embed, languages, text, tokenizer
 from corvine.operators import changes, chunking, intervals, vectors
 from corvine.plans import tools
+from corvine.session import ship
 from corvine.sources.files import HEADERS, code_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,11 @@ D = DataFrame
 
 def query(name: str, sql: str | None = None):
     def keep(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        def shipped(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf)
+
+        QUERIES[name] = shipped
         if sql:
             SQL[name] = sql
         return f

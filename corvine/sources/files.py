@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.functions.languages import PRUNED, SCANNED
+from corvine.session import ship
 
 
 def walk(root: str) -> list[str]:
@@ -43,6 +44,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, file_content_hash) of a tree on a file system that all
     executors mount; empty and unreadable files have no row (S4)."""
+    ship(spark)
     paths = walk(root)
     if not paths:
         return spark.createDataFrame([], "path string, content string, file_content_hash string")
