@@ -90,7 +90,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """a vector of length one; null where the squared length is under 1e-12."""
-    return F.when(dot(v, v) >= 1e-12, F.transform(doubles(v), lambda x: x / norm(v)))
+    own = doubles(v)
+    return F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x, lambda s: F.when(s >= 1e-12, F.transform(own, lambda x: x / F.sqrt(s))))
 
 
 def cosine(a: Column, b: Column) -> Column:
