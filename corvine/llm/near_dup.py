@@ -250,6 +250,24 @@ def _near_in_size(percent: int) -> Column:
     return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
 
+FILTER_BITS = 1 << 24
+
+
+def having(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``wanted`` (doc_id, each once).
+
+    A bitmap of 2**24 hash slots (2 MB however many ids there are, so it can be
+    broadcast) drops most other rows before texts are shuffled; the join after
+    it is exact. It is no semi join, as that would be moved below the bitmap's."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    near = docs.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(bits), "_bucket")
+    at = F.bitmap_bit_position("_slot")
+    octet = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    near = near.where(F.call_function("getbit", octet, (at % 8).cast("int")) == 1)
+    return near.select(*docs.columns).join(wanted, "doc_id").select(*docs.columns)
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, comp): the smallest node that each node of an edge reaches.
 
@@ -303,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def confirmed(likely: DataFrame) -> DataFrame:
         """The links among distinct pairs."""
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        texts = written(docs.join(wanted, "doc_id", "left_semi"), "texts")
+        texts = written(having(docs, wanted), "texts")
         both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return written(both.mapInArrow(_confirm(width, percent), "a long, b long"), "links")
 
@@ -323,7 +341,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     main = by_comp.groupBy("key").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1")
     if main.limit(1).count():
         outside = tagged.join(main.select("key", "main"), "key").groupBy("cid").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("minor"))
-        texts = docs.join(outside.withColumnRenamed("cid", "doc_id"), "doc_id").select(F.col("doc_id").alias("cid"), "comp", "minor", "text")
+        outside = written(outside.withColumnRenamed("cid", "doc_id"), "outside")
+        texts = having(docs, outside.select("doc_id")).join(outside, "doc_id").select(F.col("doc_id").alias("cid"), "comp", "minor", "text")
         crossing = prefix_pairs(written(texts, "open"), width, percent).join(tested, ["a", "b"], "left_anti")
         more = confirmed(written(crossing, "crossing"))
         if more.limit(1).count():
