@@ -10,7 +10,8 @@ parsed before it is reported as more than a pattern:
 * ``jwt``: three base64url parts of which the first decodes to a JSON object with
   ``alg`` and the second to a JSON object (a signed-token header).
 
-A PEM body is joined over its lines before it is decoded. Base spans are found
+A PEM body is joined over its lines before it is decoded, be they real or
+written as the escapes \\n and \\r. Base spans are found
 by the kinds' patterns, leftmost and non-overlapping, and all stay. Positions
 are code points, ends exclusive.
 
@@ -40,9 +41,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "jwt")
 
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
 #: Names that open a public key blob (fixed values).
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _SSH_MAGIC = b"openssh-key-v1\x00"
@@ -155,7 +156,7 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
             keys.add((m.start(), 3, m.end()))
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = decoded(re.sub(r"\s+", "", m[2])) or b""
+            data = decoded(re.sub(r"\s+|\\[nr]", "", m[2])) or b""
             kind = 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
             if kind:
                 keys.add((m.start(), kind, m.end()))

@@ -1,0 +1,49 @@
+"""Keys in the places where they are mostly written."""
+
+import base64
+import json
+
+import pytest
+
+from corvine.llm import secrets
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def der(tag, x):
+    return bytes([tag, len(x)]) + x if len(x) < 128 else bytes([tag, 0x81, len(x)]) + x
+
+
+EC = der(0x30, der(2, b"\x01") + der(4, bytes(range(32))) + der(0xA0, der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\xce\x3d\x02\x01")) + der(4, EC))
+SSH = field(b"ssh-ed25519") + field(bytes(range(32)))
+KEYS = [("der_key", base64.b64encode(EC).decode()), ("der_key", base64.b64encode(PKCS8).decode()), ("ssh_key", base64.b64encode(SSH).decode())]
+
+
+def spans(text):
+    return [(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.scan(text)]
+
+
+@pytest.mark.parametrize(("kind", "key"), KEYS)
+@pytest.mark.parametrize("form", ["private_key={}", "SSH_KEY={}\n", 'x = y={} z', 'key="{}"', "a==={}"])
+def test_keys_after_names(kind, key, form):
+    assert spans(form.format(key)) == [(kind, key)]
+
+
+@pytest.mark.parametrize("line", ["\n", "\r\n"], ids=["lf", "crlf"])
+@pytest.mark.parametrize("data", [EC, PKCS8], ids=["sec1", "pkcs8"])
+def test_keys_in_json(data, line):
+    body = base64.b64encode(data).decode()
+    pem = line.join(["-----BEGIN PRIVATE KEY-----", *[body[k : k + 32] for k in range(0, len(body), 32)], "-----END PRIVATE KEY-----", ""])
+    written = json.dumps({"type": "service_account", "key": pem})
+    (kind, found), = spans(written)
+    assert kind == "der_key" and json.loads(f'"{found}"') == pem.strip()
+    assert spans(json.dumps({"key": pem.replace(body[:8], "AAAAAAAA")})) == []
+
+
+def test_keys_leave_the_text(spark):
+    text = f"private_key={KEYS[0][1]} and ssh_key={KEYS[2][1]}."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact_secrets(df).first().text == "private_key=[der_key] and ssh_key=[ssh_key]."
