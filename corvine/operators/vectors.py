@@ -1,14 +1,14 @@
 """Vector search over (id, embedding) tables.
 
-Exact search takes a set of queries in blocks against all vectors: scores come
-from one matrix product per Arrow batch, each batch keeps its best k of every
-query, and a ranked window merges them, so no pair table is made. Clustered and
-hashed search look into parts of the table only.
+A search takes a set of queries in blocks against all vectors: scores come from
+one matrix product per slice of an Arrow batch, each task keeps its best k of
+every query, and a ranked window merges them, so no pair table is made. Clustered
+and hashed search keep only pairs that share a cell or a bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ from corvine.functions.text import dot, l2_normalize
 from corvine.session import ship
 
 QUERY_BLOCK = 4096
+#: Vectors scored at a time, so that a block's scores stay within 32 MB.
+SLICE = 1024
 
 
 def normalized(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -32,42 +34,117 @@ def ranked(scored: DataFrame, k: int, by: list[str], ties: list[str], rank: str
     return scored.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def _matrix(ids: np.ndarray, queries: np.ndarray, k: int):
+def _first(q: np.ndarray, g: np.ndarray, own: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of hits, the best ``k`` of each query and group, ties to the smaller id."""
+    order = np.lexsort((own, -s, g, q))
+    q, g, own, s = q[order], g[order], own[order], s[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (g[1:] != g[:-1])
+    at = np.arange(len(q))
+    keep = at - np.maximum.accumulate(np.where(new, at, 0)) < k
+    return q[keep], g[keep], own[keep], s[keep]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _matrix(ids: np.ndarray, queries: np.ndarray, k: int, candidates: Callable[[np.ndarray], np.ndarray] | None = None):
+    """Best ``k`` of each query and group in a task; ``candidates`` gives for
+    unit vectors which query (line) looks at which of them (column)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column("id").to_numpy(zero_copy_only=False)
-            x = np.array(b.column("v").to_pylist(), np.float64)
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            s = np.round(queries @ x.T, 6) + 0.0
-            for q, row in zip(ids, s, strict=True):
-                best = np.lexsort((own, -row))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.int64()), pa.array(own[best], pa.int64()), pa.array(row[best])], ["query_id", "id", "score"])
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
+                own, group = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "group"))
+                x = _unit(np.array(part.column("v").to_pylist(), np.float64))
+                s = np.round(queries @ x.T, 6) + 0.0
+                if candidates is not None:
+                    s[~candidates(x)] = -np.inf
+                for g in np.unique(group):
+                    mine = np.flatnonzero(group == g)
+                    t = s[:, mine]
+                    least = np.partition(t, len(mine) - k, axis=1)[:, [len(mine) - k]] if len(mine) > k else -np.inf
+                    q, at = np.nonzero((t >= least) & (t > -np.inf))
+                    new = (q, np.full(len(q), g), own[mine[at]], t[q, at])
+                    best = _first(*(np.concatenate(both) for both in zip(best, new, strict=True)), k)
+        if len(best[0]):
+            q, g, own, s = best
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(g), pa.array(own), pa.array(s)], ["query_id", "group", "id", "score"])
 
     return run
 
 
+def blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of (query_id, v), QUERY_BLOCK rows at a time."""
+    count = queries.count()
+    cut = queries.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)) if count > QUERY_BLOCK else queries.withColumn("_block", F.lit(0))
+    for block in range(-(-count // QUERY_BLOCK)):
+        rows = cut.where(F.col("_block") == block).select("query_id", "v").collect()  # QUERY_BLOCK rows at most
+        yield np.array([r[0] for r in rows], np.int64), _unit(np.array([r[1] for r in rows], np.float64))
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.where(dot(F.col("v"), F.col("v")) >= 1e-12)
+
+
+def _found(vectors: DataFrame, queries: DataFrame, k: int, candidates=None, group: Column | None = None) -> DataFrame:
+    """(query_id, group, id, score): the best ``k`` of each task."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = _usable(vectors).select("id", "v", (F.lit(0) if group is None else group).cast("long").alias("group"))
+    kind, found = "query_id long, group long, id long, score double", None
+    for ids, v in blocks(queries):
+        part = rows.mapInArrow(_matrix(ids, v, k, candidates and candidates(v)), kind)
+        found = part if found is None else found.union(part)
+    return spark.createDataFrame([], kind) if found is None else found
+
+
 def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score) for ``vectors`` (id, v) and ``queries``
     (query_id, v), cosine scores rounded to 6 places, ties to the smaller id.
     Queries go to the driver a block at a time and from there to all tasks."""
-    spark = vectors.sparkSession
-    ship(spark)
-    count = queries.count()
-    cut = queries.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)) if count > QUERY_BLOCK else queries.withColumn("_block", F.lit(0))
-    usable = vectors.where(dot(F.col("v"), F.col("v")) >= 1e-12)
-    found = None
-    for block in range(max(1, -(-count // QUERY_BLOCK))):
-        rows = cut.where(F.col("_block") == block).select("query_id", "v").collect()  # QUERY_BLOCK rows at most
-        ids, v = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        if len(ids):
-            v /= np.sqrt((v * v).sum(axis=1))[:, None]
-            part = usable.select("id", "v").mapInArrow(_matrix(ids, v, k), "query_id long, id long, score double")
-            found = part if found is None else found.union(part)
+    return ranked(_found(vectors, queries, k), k, ["query_id"], ["id"]).select("query_id", "rank", "id", "score")
+
+
+def exact_by_group(vectors: DataFrame, queries: DataFrame, k: int, group: str) -> DataFrame:
+    """L2: the best ``k`` within each ``group`` (an integer column), then of all."""
+    own = ranked(_found(vectors, queries, k, group=F.col(group)), k, ["query_id", "group"], ["id"], "r")
+    return ranked(own, k, ["query_id"], ["id"]).select("query_id", "rank", F.col("group").alias(group), "id", "score")
+
+
+def extremes(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row of the least score of pairs of one label and the largest of
+    two labels, each query (query_id, v, label) with all other rows (id, v, label).
+    A task makes one row for each block of queries."""
+    ship(vectors.sparkSession)
+    rows, found = _usable(vectors).select("id", "v", F.col("label").cast("long").alias("label")), None
+    for ids, v in blocks(queries):
+        labels = dict(queries.where(F.col("query_id").between(int(ids.min()), int(ids.max()))).select("query_id", "label").collect())
+        part = rows.mapInArrow(_extremes(ids, v, np.array([labels[i] for i in ids.tolist()])), "least double, most double")
+        found = part if found is None else found.union(part)
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    return ranked(found, k, ["query_id"], ["id"]).select("query_id", "rank", "id", "score")
+        found = vectors.sparkSession.createDataFrame([], "least double, most double")
+    least, most = F.min("least"), F.max("most")
+    return found.agg(least.alias("least_similar"), most.alias("most_dissimilar"), (least > most).alias("apart"))
+
+
+def _extremes(ids: np.ndarray, queries: np.ndarray, labels: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, most = np.inf, -np.inf
+        for b in batches:
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
+                own, label = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
+                s = np.round(queries @ _unit(np.array(part.column("v").to_pylist(), np.float64)).T, 6) + 0.0
+                other, same = ids[:, None] != own, labels[:, None] == label
+                least = min(least, s[other & same].min(initial=np.inf))
+                most = max(most, s[other & ~same].max(initial=-np.inf))
+        yield pa.RecordBatch.from_arrays([pa.array([least if least < np.inf else None], pa.float64()), pa.array([most if most > -np.inf else None], pa.float64())], ["least", "most"])
+
+    return run
 
 
 def searched(vectors: DataFrame, query: Column, k: int, ties: list[str]) -> DataFrame:
@@ -106,42 +183,53 @@ def clusters(vectors: DataFrame, cells: int, rounds: int = 8, sample: int = 20_0
     return centre
 
 
-def with_cells(rows: DataFrame, centre: np.ndarray, keep: int, column: str = "cell") -> DataFrame:
-    """Each row of (id, v) once for each of its ``keep`` nearest cells."""
-    names = rows.columns
-    ship(rows.sparkSession)
+def ivf(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6, spread: int = 3) -> DataFrame:
+    """V6: vectors in the cells of their ``spread`` nearest centres, queries in the
+    nearest ``probes`` cells; exact scores of pairs that share a cell."""
+    centre = clusters(vectors, cells)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, -1)
-            if b.num_rows:
-                near = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :keep]
-                take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in names], pa.array(near.ravel().astype(np.int32))], [*names, column])
+    def near(x: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :n]
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, {column} int")
+    def candidates(q: np.ndarray):
+        looks = np.zeros((len(q), len(centre)), bool)
+        np.put_along_axis(looks, near(q, probes), True, axis=1)
 
+        def shared(x: np.ndarray) -> np.ndarray:
+            at = near(x, spread)
+            out = np.zeros((len(q), len(x)), bool)
+            for r in range(at.shape[1]):
+                out |= looks[:, at[:, r]]
+            return out
 
-def ivf(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6) -> DataFrame:
-    """V6: vectors in the cell of their nearest centre, queries in the nearest
-    ``probes`` cells; an equi join on the cell, then exact scores."""
-    centre = clusters(vectors, cells)
-    left = with_cells(queries.select("query_id", F.col("v")), centre, probes).withColumnRenamed("v", "q")
-    both = left.join(with_cells(vectors.select("id", "v"), centre, 1), "cell")
-    scored = both.withColumn("score", F.round(dot(F.col("q"), F.col("v")), 6) + 0.0)
-    return ranked(scored, k, ["query_id"], ["id"]).select("query_id", "rank", "id", "score")
+        return shared
+
+    return ranked(_found(vectors, queries, k, candidates), k, ["query_id"], ["id"]).select("query_id", "rank", "id", "score")
 
 
-def lsh(vectors: DataFrame, queries: DataFrame, k: int, width: int, tables: int = 24, bits: int = 5, seed: int = 11) -> DataFrame:
+def lsh(vectors: DataFrame, queries: DataFrame, k: int, width: int, tables: int = 24, bits: int = 5, seed: int = 11, flips: int = 1) -> DataFrame:
     """V6: random hyperplanes; candidates share a signature of ``bits`` signs in
-    any of ``tables`` tables, then exact scores."""
+    any of ``tables`` tables, where a query also looks at the ``flips`` signatures
+    that differ in one of its least certain signs; then exact scores."""
     planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
-
-    def signed(rows: DataFrame) -> DataFrame:
-        keys = [F.concat_ws("", F.lit(f"{t}:"), *[F.when(dot(F.col("v"), F.array(*map(F.lit, planes[t, b].tolist()))) >= 0, "1").otherwise("0") for b in range(bits)]) for t in range(tables)]
-        return rows.withColumn("key", F.explode(F.array(*keys)))
-
-    pairs = signed(queries.select("query_id", "v")).select("key", "query_id").join(signed(vectors.select("id", "v")).select("key", "id"), "key").select("query_id", "id").distinct()
-    scored = pairs.join(queries.select("query_id", F.col("v").alias("q")), "query_id").join(vectors.select("id", "v"), "id").withColumn("score", F.round(dot(F.col("q"), F.col("v")), 6) + 0.0)
-    return ranked(scored, k, ["query_id"], ["id"]).select("query_id", "rank", "id", "score")
+    worth = 1 << np.arange(bits)
+
+    def candidates(q: np.ndarray):
+        lines = np.arange(len(q))
+        looks = np.zeros((tables, len(q), 1 << bits), bool)
+        for t in range(tables):
+            side = q @ planes[t].T
+            key, unsure = (side >= 0) @ worth, np.argsort(np.abs(side), axis=1, kind="stable")
+            looks[t, lines, key] = True
+            for f in range(min(flips, bits)):
+                looks[t, lines, key ^ worth[unsure[:, f]]] = True
+
+        def shared(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(q), len(x)), bool)
+            for t in range(tables):
+                out |= looks[t][:, (x @ planes[t].T >= 0) @ worth]
+            return out
+
+        return shared
+
+    return ranked(_found(vectors, queries, k, candidates), k, ["query_id"], ["id"]).select("query_id", "rank", "id", "score")
