@@ -80,11 +80,17 @@ def a7(spark, sf):
 _PAIRS = f"pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.{V}, v.{V}), 6) + 0.0 AS score FROM embeddings q JOIN embeddings v ON q.vec_id < 20)"
 
 
-def _knn(spark, sf, k):
+#: All queries of the job; the queries without ``_all`` keep the first 20 ids, as their SQL does.
+ASKED = "vec_id % 20 = 0"
+
+
+def _knn(spark, sf, k, asked="vec_id < 20"):
     e = table(spark, sf, "embeddings")
-    return vectors.exact(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), k)
+    return vectors.exact(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), k)
 
 
+_PAIRS_ALL = f"pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.{V}, v.{V}), 6) + 0.0 AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0)"
+_TOP_ALL = f"WITH {_PAIRS_ALL}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM pairs QUALIFY rank <= 10)"
 _TOP = f"WITH {_PAIRS}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM pairs QUALIFY rank <= 10)"
 
 
@@ -93,6 +99,11 @@ def j8(spark, sf):
     return _knn(spark, sf, 10)
 
 
+@query("j8_exact_knn_all", f"{_TOP_ALL} SELECT query_id, rank, id, score FROM top")
+def j8_all(spark, sf):
+    return _knn(spark, sf, 10, ASKED)
+
+
 @query("l2_multi_project_topk", f"WITH {_PAIRS}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r FROM pairs QUALIFY r <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, label, id, score FROM own QUALIFY rank <= 10")
 def l2(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -102,10 +113,26 @@ def l2(spark, sf):
     return vectors.ranked(own, 10, ["query_id"], ["id"]).select("query_id", "rank", "label", "id", "score")
 
 
+@query("l2_multi_project_topk_all", f"WITH {_PAIRS_ALL}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r FROM pairs QUALIFY r <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, label::BIGINT AS label, id, score FROM own QUALIFY rank <= 10")
+def l2_all(spark, sf):
+    e = table(spark, sf, "embeddings")
+    asked = e.where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return vectors.exact_by_group(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), asked, 10, "label")
+
+
 @query("j1_hit_lookup_with_warning", f"{_TOP} SELECT query_id, id, score, d.lang, CASE WHEN d.doc_id IS NULL THEN 'chunk metadata not found' END AS warning FROM top LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = top.id")
 def j1(spark, sf):
+    return _with_warning(spark, sf, _knn(spark, sf, 10))
+
+
+@query("j1_hit_lookup_with_warning_all", f"{_TOP_ALL} SELECT query_id, id, score, d.lang, CASE WHEN d.doc_id IS NULL THEN 'chunk metadata not found' END AS warning FROM top LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = top.id")
+def j1_all(spark, sf):
+    return _with_warning(spark, sf, _knn(spark, sf, 10, ASKED))
+
+
+def _with_warning(spark, sf, found):
     held = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.lit("p").alias("project"), F.col("doc_id").alias("chunk_id"), "lang", F.col("source").alias("file_path"))
-    hits = _knn(spark, sf, 10).withColumn("project", F.lit("p")).withColumnRenamed("id", "chunk_id")
+    hits = found.withColumn("project", F.lit("p")).withColumnRenamed("id", "chunk_id")
     return tools.with_chunks(hits, held).select("query_id", F.col("chunk_id").alias("id"), "score", "lang", "warning")
 
 
@@ -137,10 +164,19 @@ def l9(spark, sf):
 
 @query("v6_remove_then_search", f"WITH {_PAIRS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM pairs WHERE id % 5 <> 0 QUALIFY rank <= 10")
 def v6(spark, sf):
+    return _after_remove(spark, sf, "vec_id < 20")
+
+
+@query("v6_remove_then_search_all", f"WITH {_PAIRS_ALL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM pairs WHERE id % 5 <> 0 QUALIFY rank <= 10")
+def v6_all(spark, sf):
+    return _after_remove(spark, sf, ASKED)
+
+
+def _after_remove(spark, sf, asked):
     e = table(spark, sf, "embeddings")
     index = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     left = vectors.remove(index, index.where("id % 5 = 0"))
-    return vectors.exact(left, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), 10)
+    return vectors.exact(left, e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), 10)
 
 
 @query("a2_index_size", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY label")
@@ -160,7 +196,7 @@ def a14(spark, sf):
 
 def _ann(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
 
 
 @query("ann_ivf")

@@ -28,3 +28,30 @@ def test_registered_recall(spark, name, sf):
     recall = len(want & {(r.query_id, r.id) for r in got}) / len(want)
     print(name, sf, "recall@10", round(recall, 3), "of", len(asked), "queries")
     assert {r.query_id for r in got} == set(asked.tolist()) and recall >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_exact_searches_answer_all_queries(spark, sf):
+    ids, asked, labels, s = scores(spark, sf)
+    top = lambda line, kept: [(r, i, line[i]) for r, i in enumerate([i for i in np.lexsort((ids, -line)).tolist() if kept[i]][:10], 1)]
+    rows = lambda name, *cols: sorted(tuple(r[c] for c in cols) for r in queries.QUERIES[name](spark, f"{DATA}/{sf}").collect())
+    want = sorted((q, *x) for q, line in zip(asked.tolist(), s, strict=True) for x in top(line, ids >= 0))
+    left = sorted((q, *x) for q, line in zip(asked.tolist(), s, strict=True) for x in top(line, ids % 5 != 0))
+    close = lambda got, want: [x[:-1] for x in got] == [x[:-1] for x in want] and np.allclose([x[-1] for x in got], [x[-1] for x in want], atol=2e-6)
+    assert close(rows("j8_exact_knn_all", "query_id", "rank", "id", "score"), want)
+    assert close(rows("v6_remove_then_search_all", "query_id", "rank", "id", "score"), left)
+    assert close(rows("l2_multi_project_topk_all", "query_id", "rank", "id", "label", "score"), [(q, r, i, labels[i], x) for q, r, i, x in want])
+    assert close(rows("j1_hit_lookup_with_warning_all", "query_id", "id", "score"), sorted((q, i, x) for q, _, i, x in want))
+
+
+def test_searches_by_blocks_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    x = np.random.default_rng(5).normal(size=(90, 8))
+    x[10:30] = x[10]
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, label int")
+    q = df.where("id < 20").withColumnRenamed("id", "query_id")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s, ids = np.round(x @ x.T, 6), np.arange(90)
+    want = [(k, i) for k in range(20) for i in np.lexsort((ids, -s[k]))[:5].tolist()]
+    assert [(r.query_id, r.id) for r in vectors.exact(df, q, 5).orderBy("query_id", "rank").collect()] == want
+    assert [(r.query_id, r.id) for r in vectors.exact_by_group(df, q, 5, "label").orderBy("query_id", "rank").collect()] == want
