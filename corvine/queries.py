@@ -194,6 +194,12 @@ def a14(spark, sf):
     return p.agg(least.alias("least_similar"), most.alias("most_dissimilar"), (least > most).alias("apart"))
 
 
+@query("a14_similar_pairs_all", f"WITH p AS (SELECT a.label = b.label AS same, round(list_cosine_similarity(a.{V}, b.{V}), 6) + 0.0 AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) SELECT min(s) FILTER (same) AS least_similar, max(s) FILTER (NOT same) AS most_dissimilar, min(s) FILTER (same) > max(s) FILTER (NOT same) AS apart FROM p")
+def a14_all(spark, sf):
+    e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "v")
+    return vectors.extremes(e.withColumnRenamed("vec_id", "id"), e.where(ASKED).withColumnRenamed("vec_id", "query_id"))
+
+
 def _ann(spark, sf):
     e = table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))

@@ -55,3 +55,14 @@ def test_searches_by_blocks_and_groups(spark, monkeypatch):
     want = [(k, i) for k in range(20) for i in np.lexsort((ids, -s[k]))[:5].tolist()]
     assert [(r.query_id, r.id) for r in vectors.exact(df, q, 5).orderBy("query_id", "rank").collect()] == want
     assert [(r.query_id, r.id) for r in vectors.exact_by_group(df, q, 5, "label").orderBy("query_id", "rank").collect()] == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_extremes_of_all_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    ids, asked, labels, s = scores(spark, sf)
+    other, same = asked[:, None] != ids, labels[asked][:, None] == labels
+    got = queries.QUERIES["a14_similar_pairs_all"](spark, f"{DATA}/{sf}").first()
+    want = (s[other & same].min(), s[other & ~same].max())
+    assert np.allclose((got.least_similar, got.most_dissimilar), want, atol=2e-6) and got.apart == (want[0] > want[1])
+    assert queries.QUERIES["a14_similar_pairs"](spark, f"{DATA}/{sf}").first().least_similar > got.least_similar
