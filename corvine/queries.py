@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.functions import embed, languages, text, tokenizer
-from corvine.operators import changes, chunking, intervals, vectors
+from corvine.operators import changes, chunking, intervals, vectors, words
 from corvine.plans import tools
 from corvine.session import ship
 from corvine.sources.files import HEADERS, code_corpus
@@ -272,6 +272,12 @@ def p5(spark, sf):
     return d.join(F.broadcast(q)).where(text.contains_all_words(F.col("text"), F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
+@query("p5_all_words_whole")
+def p5_whole(spark, sf):
+    """All words of the whole benchmark texts; ``p5_all_words`` keeps their first 24 characters, as its SQL does."""
+    return words.count_all_words(table(spark, sf, "documents").select("text"), table(spark, sf, "benchmark").select("item_id", "text"))
+
+
 # ---- chunking -------------------------------------------------------------
 
 
@@ -667,9 +673,9 @@ def f9(spark, sf):
 
 @query("f10_decode")
 def f10(spark, sf):
-    words = tokenizer.WordPiece(VOCABULARY)
-    ids = tokenizer.wordpiece_ids(F.col("text"), words, 64)
-    names = F.create_map(*[F.lit(x) for i, t in words.tokens.items() for x in (i, t)])
+    pieces = tokenizer.WordPiece(VOCABULARY)
+    ids = tokenizer.wordpiece_ids(F.col("text"), pieces, 1 << 30)
+    names = F.create_map(*[F.lit(x) for i, t in pieces.tokens.items() for x in (i, t)])
     own = F.filter(F.transform(ids, lambda i: names[i.cast("int")]), lambda t: ~t.isin("[CLS]", "[SEP]", "[PAD]"))
     return table(spark, sf, "benchmark").select("item_id", F.replace(F.array_join(own, " "), F.lit(" ##"), F.lit("")).alias("text"))
 
