@@ -52,7 +52,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The learned stage can't be said in SQL; tests hold run() against brute force.
+#: The learned stage can't be said in SQL. Tests hold the stages' operators one by one
+#: against brute force, but not yet run() as a whole.
 ORACLE_SQL = None
 
 
