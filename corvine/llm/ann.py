@@ -171,8 +171,9 @@ def build(vectors: np.ndarray, seed: int = 7, batch: int = 512, passes: int = 1)
         for k in range(0, n, batch):
             nodes = order[k : k + batch]
             found, _ = greedy(x, graph, start, x[nodes], BEAM)
+            kept = pruned(x, nodes, np.concatenate((found, graph[nodes]), axis=1), DEGREE, ALPHA)
             graph[nodes] = -1
-            graph[nodes, :DEGREE] = pruned(x, nodes, np.concatenate((found, graph[nodes]), axis=1), DEGREE, ALPHA)
+            graph[nodes, :DEGREE] = kept
             to, of = graph[nodes, :DEGREE], np.repeat(nodes, DEGREE).reshape(-1, DEGREE)
             to, of = to[to >= 0], of[to >= 0]
             missing = ~(graph[to] == of[:, None]).any(axis=1)
