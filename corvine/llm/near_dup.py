@@ -7,8 +7,8 @@ words than a shingle: the whole sequence; no word: empty, linked to nothing).
    their leading bits; a bucket keeps its smallest hash as a leading-zero count
    and 10 mantissa bits (HyperMinHash). Buckets without a shingle borrow for
    banding only.
-2. Equal sets are one class. From here on a class is one node, so thousands of
-   exact copies cost one row each and no pair.
+2. Texts of equal words (128 bits of BLAKE2b) are one class. From here on a class
+   is one node, so thousands of exact copies cost one row each and no pair.
 3. 25 bands of 5 compressed registers propose pairs. A pair of similarity 0.85
    shares a band with probability 1 - 4e-7. Buckets of up to 24 classes give
    all pairs. Larger ones give pairs with two common members (the one that is in
@@ -20,12 +20,16 @@ words than a shingle: the whole sequence; no word: empty, linked to nothing).
    so its members share no prefix and give no pairs, however many they are.
 4. A collision-corrected Jaccard estimate from the registers drops a pair only
    when it is five standard errors below the threshold.
-5. Links are confirmed on the full shingle sets, and components follow from
-   repeated smallest labels with pointer jumping over written tables.
+5. Links are confirmed on the full shingle sets (of numbered words, not of hashes),
+   and components follow from repeated smallest labels with pointer jumping over
+   written tables. Joins that carry texts or sketches deal the rows of hot nodes
+   (a hub with many pairs) to 16 tasks.
 
 Defined results: null or empty text: no shingle, its own component, kept. A row
-without doc_id takes no part in links: component_id null, kept. Rows that share
-a doc_id are one node (same component). Other columns are not read.
+without doc_id takes no part in links: component_id null, kept. Different texts
+that share a doc_id are nodes of their own, each with its own component. Other
+columns are not read. A text is held in one task (about ten bytes for each of its
+bytes).
 """
 
 from __future__ import annotations
@@ -34,14 +38,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.llm import words
-from corvine.llm.common import only, tune, written
+from corvine.llm.common import WORD, only, tune, written
 
 BUCKETS, MANTISSA, BANDS, ROWS = 128, 10, 25, 5
 SMALL_BUCKET = 24
@@ -50,10 +52,10 @@ _U = np.uint64
 _REST = 64 - 7  # bits below the bucket's
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    starts, ends, first = words.bounds(data, offs)
-    w = words.hashes(data, starts, ends, fold=True)
+def shingles(data: np.ndarray, offs: np.ndarray, width: int, digests: list[bytes] | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; ``digests`` gets 128 bits
+    over the words of each."""
+    w, first = words.hashed(data, offs, fold=True, digests=digests)
     h, at = words.windows(w, first, width)
     out = []
     for k in range(len(offs) - 1):
@@ -68,6 +70,31 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]
     return out
 
 
+def exact_shingles(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as numbers that are equal just
+    where the words are: words are numbered exactly, and numbers joined without
+    loss (renumbered where they outgrow 63 bits)."""
+    starts, ends, first = words.bounds(data, offs)
+    w, distinct = words.numbered(words.spelled(data, starts, ends, fold=True))
+    base, top = max(1, len(distinct)), 1
+    begin, at = words.window_starts(first, width)
+    key = np.zeros(len(begin), np.int64)
+    for k in range(width):
+        if top > (1 << 62) // base:
+            _, key = np.unique(key, return_inverse=True)
+            top = len(key)
+        key, top = key * base + w[begin + k], top * base
+    short: dict[bytes, int] = {}
+    out = []
+    for k in range(len(offs) - 1):
+        n = first[k + 1] - first[k]
+        if n >= width:
+            out.append(np.unique(key[at[k] : at[k + 1]]))
+        else:  # all its words are one shingle, which no longer text has
+            out.append(np.array([-1 - short.setdefault(w[first[k] : first[k + 1]].tobytes(), len(short))] if n else [], np.int64))
+    return out
+
+
 def _borrowing() -> np.ndarray:
     rng = np.random.default_rng(20240229)
     return np.stack([rng.permutation(BUCKETS) for _ in range(BUCKETS)])
@@ -105,16 +132,14 @@ def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _borrowing()
         for batch in batches:
-            n, lo, hi, dense, empty = [], [], [], [], []
+            n, digests, dense, empty = [], [], [], []
             for _, _, data, offs in words.each_part(batch.column("text")):
-                sets = shingles(data, offs, width)
+                sets = shingles(data, offs, width, digests)
                 regs = registers(sets)
                 n += [len(s) for s in sets]
-                lo += [int(words.mix(s).sum(dtype=_U).view(np.int64)) for s in sets]
-                hi += [int(words.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) for s in sets]
                 dense += [r.tobytes() for r in filled(regs, table).astype(">u2")]
                 empty += [r.tobytes() for r in np.packbits(regs == 0, axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(dense, pa.binary()), pa.array(empty, pa.binary())], ["doc_id", "n", "lo", "hi", "dense", "empty"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(dense, pa.binary()), pa.array(empty, pa.binary())], ["doc_id", "mark", "n", "digest", "dense", "empty"])
 
     return run
 
@@ -152,14 +177,15 @@ def _likely(percent: int):
 
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(col: pa.Array) -> list[np.ndarray]:
-            return [s for _, _, data, offs in words.each_part(col) for s in shingles(data, offs, width)]
-
         for b in batches:
             keep = []
-            for x, y in zip(sets(b.column("ta")), sets(b.column("tb")), strict=True):
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+            for k in range(0, b.num_rows, 128):  # both texts of up to 128 pairs are numbered together
+                x, y = b.column("ta").slice(k, 128), b.column("tb").slice(k, 128)
+                data, offs = words.utf8(pa.concat_arrays([x, y]))
+                sets = exact_shingles(data, offs, width)
+                for s, t in zip(sets[: len(x)], sets[len(x) :], strict=True):
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    keep.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
@@ -171,32 +197,27 @@ CLASS = 0.1  # width of a size class, in logarithms
 
 
 def _frequencies(width: int):
-    """One row a task: how often each of 2**20 slots of shingles occurs."""
+    """(slot, n): how often a task's texts have shingles in each of 2**20 slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int32)
+        total = np.zeros(SLOTS, np.int64)
         for b in batches:
             for _, _, data, offs in words.each_part(b.column("text")):
                 for s in shingles(data, offs, width):
                     total[(s & _U(SLOTS - 1)).astype(np.int64)] += 1
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
 
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(c), np.int32) for c in pdf["counts"])
-    return pd.DataFrame({"part": [0], "counts": [zlib.compress(total.astype(np.int32).tobytes(), 1)]})
-
-
 def _prefixes(shared, width: int, percent: int):
     """(token, n, i, cid, comp, minor): the shingles of a text, rarest first, up
     to the last position that a link of any size could have first in common,
     without those that no other text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.frombuffer(zlib.decompress(shared.value), np.int32)
+        often = np.frombuffer(zlib.decompress(shared.value), np.int64)
         for b in batches:
             sets = [s for _, _, data, offs in words.each_part(b.column("text")) for s in shingles(data, offs, width)]
             out, places = [], []
@@ -225,9 +246,9 @@ def prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
     minor text's position this bounds the partner's size, and the join is on
     shingle and size class."""
     spark = texts.sparkSession
-    found = texts.mapInArrow(_frequencies(width), "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary")
-    parts = [zlib.decompress(r["counts"]) for r in found.collect()]  # 16 rows of at most 4 MB
-    total = sum((np.frombuffer(c, np.int32) for c in parts), np.zeros(SLOTS, np.int32)).astype(np.int32)
+    found = texts.mapInArrow(_frequencies(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2**20 rows at most
+    total = np.zeros(SLOTS, np.int64)
+    total[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(zlib.compress(total.tobytes(), 1))
     posts = written(texts.mapInArrow(_prefixes(shared, width, percent), "token long, n long, i long, cid long, comp long, minor boolean"), "prefixes")
     t = percent / 100
@@ -251,21 +272,24 @@ def _near_in_size(percent: int) -> Column:
 
 
 FILTER_BITS = 1 << 24
+HOT = 16
 
 
 def having(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``wanted`` (doc_id, each once).
+    """(cid, text) of the nodes in ``wanted`` (cid, doc_id, mark), each once.
 
     A bitmap of 2**24 hash slots (2 MB however many ids there are, so it can be
     broadcast) drops most other rows before texts are shuffled; the join after
-    it is exact. It is no semi join, as that would be moved below the bitmap's."""
+    it is exact. It is no semi join, as that would be moved below the bitmap's.
+    Rows that repeat an id and text are reduced to one before the shuffle."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bits = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
     near = docs.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(bits), "_bucket")
     at = F.bitmap_bit_position("_slot")
     octet = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     near = near.where(F.call_function("getbit", octet, (at % 8).cast("int")) == 1)
-    return near.select(*docs.columns).join(wanted, "doc_id").select(*docs.columns)
+    near = near.groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
+    return near.join(wanted, ["doc_id", "mark"]).select("cid", "text")
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -287,17 +311,31 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``
-    (doc_id, text): see the module. Links have 100 * |A and B| >= percent * |A or B|.
-    """
-    spark: SparkSession = docs.sparkSession
-    tune(spark)
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sig = written(docs.mapInArrow(_sketch(width), "doc_id long, n long, lo long, hi long, dense binary, empty binary"), "sketch")
+def _hot(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The keys that hold more than one part in ``most`` of ``rows``: at most
+    ``most`` of them, so they may be broadcast."""
+    n = rows.count()
+    return written(rows.groupBy(key).agg(F.count("*").alias("_k")).where(F.col("_k") * most > n).select(key), "hot")
+
+
+def dealt(big: DataFrame, small: DataFrame, key: str, most: int = 200) -> DataFrame:
+    """``big`` joined with ``small`` (a row for each ``key``): rows of hot keys are
+    dealt to 16 tasks, to which the 200 hot rows at most of ``small`` are copied."""
+    hot = F.broadcast(_hot(big, key, most).withColumn("_hot", F.lit(HOT)))
+    salt = F.pmod(F.hash(*[c for c in big.columns if c != key]), F.coalesce("_hot", F.lit(1)))
+    x = big.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    y = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_hot", F.lit(1)) - 1))).drop("_hot")
+    return x.join(y, [key, "_salt"]).drop("_salt")
+
+
+def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, mark, text): the sketches of all rows, the classes of
+    rows with equal words, and the component of every class that has links."""
+    sig = written(docs.mapInArrow(_sketch(width), "doc_id long, mark long, n long, digest binary, dense binary, empty binary"), "sketch")
     sets = sig.where("n > 0 and doc_id is not null")
-    nodes = sets.groupBy("lo", "hi").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("dense").alias("dense"), F.first("empty").alias("empty"))
-    nodes = written(nodes, "classes")
+    rep = F.min(F.struct("doc_id", "mark"))
+    nodes = sets.groupBy("digest").agg(rep.alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("dense").alias("dense"), F.first("empty").alias("empty"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("cid"), "digest", "rep.doc_id", "rep.mark", "rows", "n", "dense", "empty"), "classes")
 
     step = 2 * ROWS
     keys = [F.xxhash64(F.substring("dense", 1 + step * k, step), F.lit(k)) for k in range(BANDS)]
@@ -318,17 +356,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     star = large.join(hubs, "key").select("cid", F.explode("hubs").alias("y"))
     pairs = pairs.union(_ordered(star, F.col("cid"), F.col("y")))
 
+    def sided(pairs: DataFrame, table, most: int = 200) -> DataFrame:
+        """Pairs with what ``table(side)`` has of both their nodes."""
+        return dealt(dealt(pairs, table("a"), "a", most), table("b"), "b", most)
+
     def confirmed(likely: DataFrame) -> DataFrame:
         """The links among distinct pairs."""
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        texts = written(having(docs, wanted), "texts")
-        both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+        ends = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
+        texts = written(having(docs, nodes.select("cid", "doc_id", "mark").join(ends, "cid")), "texts")
+        both = sided(likely, lambda s: texts.toDF(s, f"t{s}"))
         return written(both.mapInArrow(_confirm(width, percent), "a long, b long"), "links")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         """The pairs that may be links, by size and registers."""
         side = lambda s: nodes.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("dense").alias(f"d{s}"), F.col("empty").alias(f"e{s}"))
-        wide = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_in_size(percent))
+        wide = sided(pairs, side).where(_near_in_size(percent))
         return written(wide.mapInArrow(_likely(percent), "a long, b long"), "likely")
 
     tested = written(pairs.distinct(), "pairs")
@@ -341,25 +383,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     main = by_comp.groupBy("key").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1")
     if main.limit(1).count():
         outside = tagged.join(main.select("key", "main"), "key").groupBy("cid").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("minor"))
-        outside = written(outside.withColumnRenamed("cid", "doc_id"), "outside")
-        texts = having(docs, outside.select("doc_id")).join(outside, "doc_id").select(F.col("doc_id").alias("cid"), "comp", "minor", "text")
-        crossing = prefix_pairs(written(texts, "open"), width, percent).join(tested, ["a", "b"], "left_anti")
+        outside = written(outside, "outside")
+        texts = having(docs, nodes.select("cid", "doc_id", "mark").join(outside.select("cid"), "cid"))
+        crossing = prefix_pairs(written(texts.join(outside, "cid"), "open"), width, percent).join(tested, ["a", "b"], "left_anti")
         more = confirmed(written(crossing, "crossing"))
         if more.limit(1).count():
             comps = components(links.union(more))
+    return sig, nodes, comps
 
-    known = sig.select("doc_id", "n", "lo", "hi").join(nodes.select("lo", "hi", "cid"), ["lo", "hi"], "left")
-    known = known.withColumn("cid", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cid")).otherwise(F.col("doc_id")))
-    known = known.join(comps.toDF("cid", "comp"), "cid", "left").withColumn("component_id", F.coalesce("comp", "cid"))
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a mark that tells texts of one doc_id apart."""
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``
+    (doc_id, text): see the module. Links have 100 * |A and B| >= percent * |A or B|.
+    """
+    tune(docs.sparkSession)
+    sig, nodes, comps = _classified(_marked(docs), width, percent)
+    at = written(comps.toDF("cid", "comp").join(nodes.select("cid", "digest", "doc_id"), "cid"), "linked")
+    first = at.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = dealt(at.select("comp", "digest"), first, "comp")
+    alone = nodes.select("cid", "digest", "doc_id").join(comps.select(F.col("node").alias("cid")), "cid", "left_anti")
+    ids = written(linked.select("digest", "component_id").union(alone.select("digest", F.col("doc_id").alias("component_id"))), "ids")
+    some = F.col("n").cast("boolean") & F.col("doc_id").isNotNull()
+    rows = sig.select("doc_id", "n", "digest")
+    known = dealt(rows.where(some), ids, "digest", 10_000).unionByName(rows.where(~some).withColumn("component_id", F.col("doc_id")))
     return known.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` (all columns) that represent their component, one
-    for each; rows without doc_id all stay."""
-    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi")
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` (all columns) without near copies: of each component
+    one row stays, that of the smallest doc_id (then of the smallest hash of its
+    text and of its other columns). Different texts that share a doc_id are
+    documents of their own; rows without doc_id or words all stay, repeated
+    rows of such included."""
+    tune(docs.sparkSession)
+    _, nodes, comps = _classified(_marked(docs), width, percent)
+    rep = nodes.select("cid", "doc_id", "mark").join(comps.toDF("cid", "comp"), "cid", "left")
+    best = rep.groupBy(F.coalesce("comp", "cid").alias("comp")).agg(F.min(F.struct("doc_id", "mark")).alias("rep"))
+    best = written(best.select(F.col("rep.doc_id").alias("_corvine_id"), F.col("rep.mark").alias("_corvine_mark")), "kept")
+    marked = docs.withColumns({"_corvine_id": F.col("doc_id").cast("long"), "_corvine_mark": F.xxhash64("text")})
+    wordless = F.col("_corvine_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    stay = marked.where(~wordless).join(best, ["_corvine_id", "_corvine_mark"])
+    rest = [F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])]
+    turn = Window.partitionBy("_corvine_id", "_corvine_mark").orderBy(*rest)
+    stay = stay.withColumn("_corvine_turn", F.row_number().over(turn)).where("_corvine_turn = 1")
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(marked.where(wordless).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,8 +40,7 @@ SYMBOLS = "#*$%&|<>!"
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, slot, value) of the hashed words, and texts x shapes."""
-    starts, ends, first = words.bounds(data, offs)
-    h = words.hashes(data, starts, ends, fold=True)
+    h, first = words.hashed(data, offs, fold=True)
     n = np.diff(first)
     texts = np.arange(len(n))
     owner = np.repeat(texts, n)

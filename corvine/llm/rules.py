@@ -1,12 +1,12 @@
 """Quality rules by document, with verdicts by host.
 
 Counts of every text come from numpy over Arrow batches (8-word windows are
-compared by 64-bit hashes). Rules turn counts into failures. Failures are then
+compared by 64-bit hashes of their words' XXH3 hashes, lines by XXH3). Rules turn counts into failures. Failures are then
 aggregated by host (the ``source`` of documents): a host's failure rates are
 shrunk towards all hosts by a beta prior whose two parameters are fitted to the
 hosts' rates by moments, weighted by rows, and a host is condemned when its
-shrunk rate of documents that fail any rule is over ``host_limit``. Verdicts are
-joined back to the documents.
+shrunk rate of documents that fail any rule is over ``host_limit``. Verdicts, with
+the shrunk rate of every rule (``<rule>_rate``), are joined back to the documents.
 
 The host aggregation has partial sums before its shuffle; one row a host is
 broadcast up to 100,000 hosts and joined with salt beyond, so a hot host is
@@ -36,47 +36,48 @@ REPEAT = 8
 
 def text_counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of texts."""
-    starts, ends, first = words.bounds(data, offs)
+    h, first = words.hashed(data, offs)
     texts = len(offs) - 1
+    salt = np.uint64(0x9E3779B97F4A7C15)
 
     def per_text(flags: np.ndarray) -> np.ndarray:
+        if texts == 1:
+            return np.array([np.count_nonzero(flags)])
         total = np.concatenate(([0], np.cumsum(flags)))
         return total[offs[1:]] - total[offs[:-1]]
 
-    sep = words.tables(False)[0][data]
-    chars = per_text(~sep & ((data & 0xC0) != 0x80))
+    inner = ~words.tables(False)[0][data]
+    chars = per_text(inner & ((data & 0xC0) != 0x80))
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
     symbols = per_text(symbol[data])
-    h = words.hashes(data, starts, ends)
 
-    # lines: pieces between \n (or text ends), told apart by their bytes
+    # lines with a word: pieces between \n (or text ends); every text has one more
+    # line than breaks, so the sorted starts and ends pair up
     breaks = np.flatnonzero(data == 10)
     lo = np.sort(np.concatenate((offs[:-1], breaks + 1)), kind="stable")
+    hi = np.sort(np.concatenate((breaks, offs[1:])), kind="stable")
     text_of = np.searchsorted(offs[1:], lo, "right")
-    ends_at = np.sort(np.concatenate((breaks, offs[1:])), kind="stable")
-    # every text has one more line than breaks, so the sorted starts and ends pair up
-    has = np.searchsorted(starts, ends_at) > np.searchsorted(starts, lo)
-    lo, hi, text_of = lo[has], ends_at[has], text_of[has]
-    key = words.mix(words.hashes(data, lo, hi) + text_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, back = np.unique(key, return_index=True)
-    again = np.ones(len(key), bool)
+    held = np.concatenate(([0], np.cumsum(inner, dtype=np.int32)))
+    has = held[hi] > held[lo]
+    lo, hi, text_of = lo[has], hi[has], text_of[has]
+    line = words.hashes(words.spelled(data, lo, hi))
+    _, back = np.unique(words.mix(line + text_of.astype(np.uint64) * salt), return_index=True)
+    again = np.ones(len(line), bool)
     again[back] = False
     dup = np.bincount(text_of[again], minlength=texts)
 
     # words of 8-word windows that a text has twice or more
     w, at = words.windows(h, first, REPEAT)
     owner = np.repeat(np.arange(texts), np.diff(at))
-    key = words.mix(w + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-    often = count[group] > 1 if len(key) else np.zeros(0, bool)
-    begin = first[:-1][owner] + np.arange(len(key)) - at[:-1][owner]
+    _, group, count = np.unique(words.mix(w + owner.astype(np.uint64) * salt), return_inverse=True, return_counts=True)
+    often = count[group] > 1 if len(w) else np.zeros(0, bool)
+    begin = first[:-1][owner] + np.arange(len(w)) - at[:-1][owner]
     cover = np.zeros(len(h) + 1, np.int64)
     np.add.at(cover, begin[often], 1)
     np.add.at(cover, begin[often] + REPEAT, -1)
     covered = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
-    repeated = covered[first[1:]] - covered[first[:-1]]
-    return np.diff(first), chars, symbols, dup, repeated
+    return np.diff(first), chars, symbols, dup, covered[first[1:]] - covered[first[:-1]]
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -131,7 +132,7 @@ def quality_rules(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
     flagged = counts.withColumns(rules)
     flagged = written(flagged.withColumn("base_failed", F.col("few_words") | F.col("repeats")).withColumn("any", F.greatest(*rules)), "rules")
     hosts = host_verdicts(flagged, list(rules), host_limit)
-    verdicts = hosts.select("host", "any_rate", "condemned")
+    verdicts = hosts.select("host", *[f"{r}_rate" for r in (*rules, "any")], "condemned")
     out = joined_small(flagged, verdicts, "host", hosts.count())
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("condemned"))
 
