@@ -13,8 +13,9 @@ open window, and every queue's deficit (share * packed - given). Windows and
 deficits run on across partitions, and only the very last window is short: it is
 cut into sequences of a power of two tokens each, which need no padding.
 
-Queues are sources; beyond 4096 sources they share 4096 queues by hash, which
-bounds what a task holds and what the driver gets. Token tables are written
+Queues are sources; beyond ``max_queues`` sources (4096, counted exactly) they
+share as many queues by hash, which bounds what a task holds and what the driver
+gets. Token tables are written
 once; their rows are dealt to partitions in slices, so a source or document of
 any size is spread.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,31 +39,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.common import only, source_key, tune, written
+from corvine.llm.words import each_part, numbered, tables
 
 WINDOW = 2048
 END_ID = 1
 MAX_QUEUES = 4096
-PARTITION_TOKENS = 4_000_000
+PARTITION_TOKENS = 1_000_000
 
 
 class WordEncoder:
-    """The ids that the ``tokenizers`` library gives, word by word.
-
-    The vocabulary file is a BPE with word ends whose normalizer and
-    pre-tokenizer never look across white space. A word of letters (with
-    trailing punctuation) has its pairs merged by rank in ``tiktoken``: the id
+    """The ids that the ``tokenizers`` library gives, piece by piece.
+
+    The vocabulary file is a BPE with word ends that composes characters (NFC),
+    lower-cases, and splits runs of letters from all else. So a text may be cut
+    where ASCII letters or bytes over 0x7F meet other bytes, but for two places:
+    after an apostrophe (``'s`` is one piece) and where a byte over 0x7F meets a
+    sign (it may compose with it, or be a sign itself). Each distinct piece of a part is looked up
+    once. Runs of letters have their pairs merged by rank in ``tiktoken``: the id
     of a vocabulary entry is its rank, and byte 0xFF, which UTF-8 lacks, stands
-    for the word end. Anything else goes through ``tokenizers`` itself.
+    for the word end. Anything else, and texts with a special token, go through
+    ``tokenizers`` itself. Ids of up to about ``keep`` bytes of pieces are kept for
+    the next parts, in two generations.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 40 << 20):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.keep, self.known, self.marks = keep, {}, {"": b""}
+        self.keep, self.held, self.known, self.older, self.marks = keep // 2, 0, {}, {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
         special = {t["id"] for t in spec["added_tokens"]}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -72,49 +81,93 @@ class WordEncoder:
                 body = token.removesuffix("</w>")
                 ranks[bytes(byte_of[c] for c in body) + b"\xff" * (body != token)] = i
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.letter = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
     def slow(self, text: str) -> bytes:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def word(self, w: str) -> bytes:
-        core = w.rstrip(".,;:!?")
-        low = core.lower()
-        if not low.isalpha() or "Σ" in core or not (low.isascii() or unicodedata.is_normalized("NFC", core)):
-            return self.slow(w) if w else b""
-        mark = w[len(core) :]
-        if mark not in self.marks:
-            self.marks[mark] = self.slow(mark)
-        return np.array(self.merge(low.encode() + b"\xff"), "<u2").tobytes() + self.marks[mark]
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 16-bit numbers."""
-        if not text:
-            return b""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.keep:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.word(w)
-        return b"".join([known[w] for w in words])
+        return array("H", self.full.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def mark(self, text: str) -> bytes:
+        if len(text) > 3:
+            return self.slow(text)
+        if text not in self.marks:
+            self.marks[text] = self.slow(text)
+        return self.marks[text]
+
+    def piece(self, w: bytes) -> bytes:
+        if not w.isalpha():
+            if w.isspace():
+                return b""
+            text = w.decode()
+            word = text.rstrip(".,;:!?")
+            low = word.lower()
+            if not low.isalpha() or "Σ" in word or not unicodedata.is_normalized("NFC", word):
+                return self.slow(text)
+            if word != text:
+                return self.piece(word.encode()) + self.mark(text[len(word) :])
+            w = low.encode()
+        return array("H", self.merge(w + b"\xff")).tobytes()
+
+    def looked_up(self, items: list[bytes]) -> list[bytes]:
+        """The ids of each distinct piece."""
+        known, older, out = self.known, self.older, []
+        for w in items:
+            ids = known.get(w)
+            if ids is None:
+                ids = older.get(w)
+                ids = known[w] = self.piece(w) if ids is None else ids
+                self.held += len(w) + len(ids) + 180
+            out.append(ids)
+        if self.held > self.keep:
+            self.known, self.older, self.held = {}, known, 0
+        return out
 
+    def encode_part(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a part, an end id after each, and their numbers."""
+        raw = data.tobytes()
+        if any(x in raw for x in self.special):
+            texts = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            end = array("H", [END_ID]).tobytes()
+            found = [(self.slow(t.decode()) if any(x in t for x in self.special) else self.encode_part(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes()[:-2]) + end for t in texts]
+            return np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found])
+        data = tables(True)[1][data]
+        kind = self.letter[data]
+        mark = np.zeros(len(data) + 1, bool)
+        mark[1:-1] = kind[1:] != kind[:-1]
+        high, apart = data >= 128, tables(False)[0][data]
+        glued = high[1:] & ~apart[:-1] | high[:-1] & ~apart[1:] | (data[:-1] == 39) & kind[1:]
+        mark[1:-1] &= ~glued
+        mark[offs] = True
+        cut = np.flatnonzero(mark[:-1])
+        items = pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(cut, len(data))), pa.py_buffer(data)])
+        at, distinct = numbered(items)
+        found = [*self.looked_up(distinct.to_pylist()), array("H", [END_ID]).tobytes()]
+        pool = np.frombuffer(b"".join(found), "<u2")
+        begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 2)))
+        first = np.searchsorted(cut, offs)
+        at = np.insert(at, first[1:], len(found) - 1)
+        n = np.diff(begin)[at]
+        after = np.concatenate(([0], np.cumsum(n)))
+        return pool[np.arange(after[-1]) + np.repeat(begin[at] - after[:-1], n)], np.diff(after[first + np.arange(len(first))])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, an end id after each, as unsigned 16-bit numbers,
+        and where each text begins."""
+        parts = [self.encode_part(data, offs) for _, _, data, offs in each_part(texts, 4 << 20)]
+        flat = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, "<u2")
+        return flat, np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in parts])))) if parts else np.zeros(1, np.int64)
 
-def _tokens(path: str):
-    end = np.array([END_ID], "<u2").tobytes()
 
+def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, given = WordEncoder(path), TaskContext.get().partitionId(), {}
         for b in batches:
-            ids = [encoder.encode(t) + end for t in b.column("text").to_pylist()]
-            inside = []
-            for q, t in zip(b.column("queue").to_pylist(), ids, strict=True):
+            flat, at = encoder.encode_all(b.column("text"))
+            n, inside = np.diff(at), []
+            for q, size in zip(b.column("queue").to_pylist(), n.tolist(), strict=True):
                 inside.append(given.get(q, 0))
-                given[q] = inside[-1] + len(t) // 2
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), pa.array(ids, pa.binary()), pa.array([len(t) // 2 for t in ids], pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(inside, pa.int64())], ["doc_id", "queue", "tokens", "n", "part", "inside"])
+                given[q] = inside[-1] + size
+            tokens = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(2 * at.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), tokens, pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(inside, pa.int64())], ["doc_id", "queue", "tokens", "n", "part", "inside"])
 
     return run
 
@@ -203,18 +256,18 @@ def _pack(totals: dict[str, int], parts: int, min_piece: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, partition_tokens: int = PARTITION_TOKENS, min_piece: int = 128) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, partition_tokens: int = PARTITION_TOKENS, min_piece: int = 128, max_queues: int = MAX_QUEUES) -> DataFrame:
     """Pieces of ``docs`` (doc_id, source, text): doc_id, start, length, ids
     (little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset.
     ``tokenizer`` is a path that every executor can read."""
     spark = docs.sparkSession
     tune(spark)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("queue"), "text")
-    if named.agg(F.approx_count_distinct("queue")).first()[0] > MAX_QUEUES * 0.9:
-        named = named.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
+    if named.select("queue").distinct().limit(max_queues + 1).count() > max_queues:
+        named = named.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
     tokens = written(named.mapInArrow(_tokens(tokenizer), "doc_id long, queue string, tokens binary, n long, part int, inside long"), "tokens")
     sums = written(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues rows at most
     parts = max(1, -(-sum(totals.values()) // partition_tokens))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("n").over(Window.partitionBy("queue"))
