@@ -126,7 +126,8 @@ def stream_starts(df: DataFrame, key: str, order: str, size: str, stats: DataFra
     A key may hold any share of the rows: rows are dealt to buckets by leading
     digits of ``order`` (about ``per_bucket`` rows each), summed within a
     bucket, and shifted by the sum of the buckets before. No task sorts more
-    than a bucket. ``stats`` has ``key`` and ``n_rows``; the result has the
+    than a bucket; rows of one ``order`` are in one, so it should differ between
+    rows. ``stats`` has ``key`` and ``n_rows``; the result has the
     columns of ``stats`` as well.
     """
     span = 1 << 32

@@ -1,5 +1,6 @@
 """Operators against plain versions on small tables."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -69,21 +70,56 @@ def test_estimate_is_near_the_truth():
         assert abs(j[0] - cut / (4000 - cut)) < 0.15
 
 
-def test_mix_meets_targets(spark):
+def played(rows, n_words):
+    """What the schedule plays, step by step: for each document (index in rows) the
+    words taken and its first slot; and the targets of sources."""
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s))
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(sources)}
+    own = {s: sum(n for n, (_, t, _) in zip(n_words, rows, strict=True) if t == s) for s in sources}
+    target, open_, left = {}, set(sources), 1.5 * sum(own.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * own[s]}
+        for s in over or open_:
+            target[s] = 2 * own[s] if over else level * weight[s]
+        left -= sum(target[s] for s in over)
+        open_ -= over or open_
+    block = max(8, -(-int(sum(target.values())) // 2**20))
+    blocks = {s: -(-round(target[s]) // block) for s in sources}
+    ends = np.cumsum([blocks[s] for s in sources])
+    stream = {s: [] for s in sources}  # the document of each word
+    for e in (0, 1):
+        order = sorted(range(len(rows)), key=lambda k: hashlib.md5(f"{rows[k][0]}:{e}:{hashlib.md5(rows[k][2].encode()).hexdigest()}".encode()).hexdigest())
+        for k in order:
+            stream[rows[k][1]] += [k] * n_words[k]
+    taken, first, turn = [0] * len(rows), {}, dict.fromkeys(sources, 0)
+    for slot in range(int(ends[-1])):
+        point = slot * mixing._PHI % 2**62 / 2**62
+        s = sources[int(np.searchsorted(ends, int(point * int(ends[-1])), "right"))]
+        for k in stream[s][turn[s] * block : (turn[s] + 1) * block]:
+            taken[k] += 1
+            first.setdefault(k, slot)
+        turn[s] += 1
+    return taken, first, target, block
+
+
+def test_mix_is_what_the_schedule_plays(spark):
     rng = random.Random(9)
     rows = [(k, rng.choice(["a"] * 6 + ["b", "c", None]), " ".join(["w"] * rng.randint(0, 60))) for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    sizes = written(mixing.sized(df), "t")
-    pieces, stats, _ = mixing.mix(sizes)
-    taken = {r.key: r.t for r in pieces.groupBy("key").agg(F.sum("words").alias("t")).collect()}
+    taken, first, target, block = played(rows, [len(t.split()) for _, _, t in rows])
+    pieces, stats, _ = mixing.mix(written(mixing.sized(df), "t"))
+    got = {r.doc_id: (r.t, r.s) for r in pieces.groupBy("doc_id").agg(F.sum("words").alias("t"), F.min("slot").alias("s")).collect()}
+    assert got == {k: (taken[k], s) for k, s in first.items()}
+    assert all(taken[k] <= 2 * len(rows[k][2].split()) for k in range(len(rows)))
     for r in stats.collect():
-        assert abs(taken.get(r.key, 0) - r.target) <= 0.5 and r.target <= 2 * r.source_size
-    by_doc = {r._rid: r.t for r in pieces.groupBy("_rid").agg(F.sum("words").alias("t")).collect()}
-    assert all(by_doc.get(r._rid, 0) <= 2 * r.size for r in sizes.collect())
-    slots = [r.slot for r in pieces.select("slot").distinct().collect()]
-    assert len(slots) == pieces.select("key", "block").distinct().count()
+        s = None if r.key == "~" else r.key[1:]
+        assert abs(r.target - target[s]) < 1e-6 and r.target <= 2 * r.source_size
+        assert abs(sum(t for t, (_, u, _) in zip(taken, rows, strict=True) if u == s) - r.target) <= 4 * block
     texts = mixing.mixed_documents(df.withColumn("n_chars", F.lit(0))).collect()
-    assert sum(len(WORD.findall(r.text)) for r in texts) == sum(taken.values())
+    assert sum(len(WORD.findall(r.text)) for r in texts) == sum(taken)
+    seen = list(dict.fromkeys(r.doc_id for r in texts))
+    assert [first[k] for k in seen] == sorted(first.values())  # in the order of the schedule
 
 
 @pytest.mark.parametrize("partition", [700, 5000, 10**9])
@@ -183,6 +219,20 @@ def test_warc_is_the_same_again(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if first[html] == r.page_id else ("revisit", first[html]))
 
 
+@pytest.mark.parametrize("shard_bytes", [1, 40, 10**9])
+def test_warc_loses_no_repeated_row(spark, shard_bytes):
+    rows = [(1, "u", "x" * 30), (1, "u", "x" * 30), (2, "u", "y"), (2, "u", "y"), (2, "v", "y"), (2, "u", "x" * 30), (-5, "u", None), (None, "u", "y"), (None, "u", "z"), (None, "u", "z")]
+    folder = run_folder(spark, "t")
+    warc.write_warc(spark.createDataFrame(rows, "page_id int, url string, html string"), folder, shard_bytes=shard_bytes)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, folder).collect()), key=str)
+    first = {"x" * 30: 1, "y": 2, None: -5, "z": None}
+    want = []
+    for k, _, html in rows:
+        again = first[html] is not None and k is not None and k != first[html]
+        want.append((k, len(html or ""), "revisit" if again else "response", first[html] if again else None))
+    assert got == sorted(want, key=str)
+
+
 def test_neighbours_recall(spark):
     x = np.random.default_rng(5).normal(size=(1500, 12)) * np.random.default_rng(6).uniform(0.5, 2, (1500, 1))
     x[700:760] = x[700]
