@@ -1,8 +1,10 @@
 """Deterministic sharded WARC files.
 
 Pages are put into shards by ranges of page_id that hold about ``shard_bytes``
-of payload each; the ranges come from exact byte sums over ids, so they depend on
-the pages alone. A shard is sorted and written as gzip members, one a record, and
+of payload each (more beyond 2**20 shards, so that their bounds are 8 MB at most);
+the ranges come from exact byte sums over ids, so they depend on the pages alone.
+Pages without an id are dealt to all shards by their digests. Spark then deals
+ranges of shards to tasks. A shard is sorted and written as gzip members, one a record, and
 rolls to a new file when the file has ``file_bytes`` compressed bytes. Headers
 and digests are made anew: record ids are name-based UUIDs, the date is a
 parameter, gzip headers hold no time. So reruns give the same bytes.
@@ -22,7 +24,8 @@ manifest names.
 Defined results: a null html is an empty payload, a null url an empty target; a
 null page_id is no smaller than any other and never revisited to unless all ids
 of its payload are null (then all are responses); rows that repeat the smallest
-page_id of a payload are all responses; an empty table gives no file and no row;
+page_id of a payload are all responses, and repeated rows are records each; rows
+of one page_id are in one shard; an empty table gives no file and no row;
 other columns are not read.
 """
 
@@ -36,13 +39,15 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm.common import only, run_folder, tune, written
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
+MAX_SHARDS = 1 << 20
 FILE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:corvine:warc")
@@ -218,33 +223,36 @@ def _shards(sizes: DataFrame, shard_bytes: int) -> list[int]:
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, min_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``folder``; the manifest."""
     tune(pages.sparkSession)
-    pages = only(pages, "page_id", "url", "html")
+    pages = only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
     html = F.coalesce("html", F.lit(""))
     sizes = written(pages.select("page_id", F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("bytes")), "sizes")
     groups = sizes.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("sha", "bytes", "first")
     again = sizes.join(groups, ["sha", "bytes"]).where("page_id <> first").select("page_id", F.lit(None).cast("string").alias("url"), F.col("sha").alias("html"), F.col("first").alias("refers_to")).distinct()
-    cuts = _shards(sizes, shard_bytes)
-    rows = pages.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again)
-    if cuts:
-        step = pages.sparkSession.createDataFrame([(c, k) for k, c in enumerate(cuts)], "cut long, shard int")
-        rows = _with_shard(rows, cuts) if len(cuts) <= 50_000 else rows.join(step, F.col("page_id") > F.col("cut"), "left").groupBy(*rows.columns).agg(F.count("cut").cast("int").alias("shard"))
-    else:
-        rows = rows.withColumn("shard", F.lit(0))
-    dealt = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.desc_nulls_last("refers_to"), "html", "url")
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    cuts = np.array(_shards(sizes, max(shard_bytes, -(-total // MAX_SHARDS))), np.int64)
+    columns = ("page_id", "url", "html", "refers_to")
+    rows = only(pages.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again), *columns)
+    shared = pages.sparkSession.sparkContext.broadcast(cuts)
+    rows = rows.mapInArrow(_dealt(shared), "shard int, page_id long, url string, html string, refers_to long")
+    dealt = rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.desc_nulls_last("refers_to"), "html", "url")
     found = written(dealt.mapInArrow(_write(folder, file_bytes, date), _FILES), "", f"{folder}/_files")
     return written(found.repartition(24, "name").mapInArrow(_rename(folder), _FILES), "", f"{folder}/_manifest")
 
 
-def _with_shard(rows: DataFrame, cuts: list[int]) -> DataFrame:
-    """The number of cuts below an id, by bisection in an array of all cuts."""
-    low, high = F.lit(0), F.lit(len(cuts))
-    array = F.array(*map(F.lit, cuts))
-    rows = rows.withColumns({"_cuts": array, "_low": low, "_high": high})
-    for _ in range(len(cuts).bit_length()):
-        mid = F.floor((F.col("_low") + F.col("_high")) / 2).cast("int")
-        over = F.col("page_id") > F.get("_cuts", mid)
-        rows = rows.withColumns({"_low": F.when((F.col("_low") < F.col("_high")) & over, mid + 1).otherwise(F.col("_low")), "_high": F.when((F.col("_low") < F.col("_high")) & ~F.coalesce(over, F.lit(False)), mid).otherwise(F.col("_high"))})
-    return rows.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(F.col("_low"))).drop("_cuts", "_low", "_high")
+def _dealt(shared):
+    """The shard of each row: the number of bounds below its page_id, or without
+    one a shard by its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = shared.value
+        for b in batches:
+            ids = b.column("page_id")
+            shard = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32)
+            for k in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+                shard[k] = zlib.crc32((b.column("html")[k].as_py() or "").encode()) % (len(cuts) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *b.columns], ["shard", *b.schema.names])
+
+    return run
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
