@@ -8,10 +8,14 @@ parsed before it is reported as more than a pattern:
 * ``ssh_key``: an OpenSSH private key (its magic and length-prefixed fields) or a
   public key whose length-prefixed fields fill the blob and start with its type;
 * ``jwt``: three base64url parts of which the first decodes to a JSON object with
-  ``alg`` and the second to a JSON object (a signed-token header).
+  ``alg`` and the second to a JSON object (a signed-token header);
+* ``sealed_key``: an encrypted private key: PKCS#8 (algorithm with parameters and
+  an octet string), or a PEM body whose headers name its cipher and IV.
 
 A PEM body is joined over its lines before it is decoded, be they real or
-written as the escapes \\n and \\r. Base spans are found
+written as the escapes \\n and \\r. All scans take time in proportion to the
+text: markers are paired with their next one, and the dotted parts of a run are
+each decoded twice at most. Base spans are found
 by the kinds' patterns, leftmost and non-overlapping, and all stay. Positions
 are code points, ends exclusive.
 
@@ -38,12 +42,16 @@ from corvine.llm.common import only, tune
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "jwt")
+KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "jwt", "sealed_key")
 
-_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+#: Where a token's header may begin inside a part, and its first characters.
+_HEAD = re.compile(r"(?:^|(?<=[_-]))eyJ")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+_LINE_END = re.compile(r"\r\n|\n|\r|\\r\\n|\\n|\\r")
+_CIPHER = re.compile(r"[A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,16}")
 #: Names that open a public key blob (fixed values).
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _SSH_MAGIC = b"openssh-key-v1\x00"
@@ -131,13 +139,59 @@ def is_ssh_key(data: bytes) -> bool:
     return bool(found) and len(found) >= 2 and found[0] in _SSH_TYPES
 
 
-def is_token(text: str) -> bool:
-    head, body, _ = text.split(".")
+def is_sealed(data: bytes) -> bool:
+    """Encrypted PKCS#8: an algorithm with its parameters, and an octet string."""
+    outer = elements(data)
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    inner = elements(outer[0][1])
+    if not inner or [tag for tag, _ in inner] != [0x30, 0x04] or len(inner[1][1]) < 16 or len(inner[1][1]) % 8:
+        return False
+    algorithm = elements(inner[0][1])
+    return bool(algorithm) and [tag for tag, _ in algorithm] == [0x06, 0x30] and bool(elements(algorithm[1][1]))
+
+
+def key_kind(data: bytes) -> int | None:
+    """The kind that decoded bytes are, if any."""
+    if data[:1] == b"\x30":
+        return 3 if is_der_key(data) else 6 if is_sealed(data) else None
+    return 4 if is_ssh_key(data) else None
+
+
+def pem_kind(body: str) -> int | None:
+    """The kind of what stands between two PEM markers."""
+    lines = [x.strip() for x in _LINE_END.split(body)]
+    heads = dict(x.split(": ", 1) for x in lines if ": " in x)
+    data = decoded(re.sub(r"\s+", "", "".join(x for x in lines if ": " not in x))) or b""
+    if "DEK-Info" in heads:
+        sealed = heads.get("Proc-Type") == "4,ENCRYPTED" and _CIPHER.fullmatch(heads["DEK-Info"])
+        return 6 if sealed and len(data) >= 16 and len(data) % 8 == 0 else None
+    return key_kind(data)
+
+
+def is_object(text: str, *, signed: bool) -> bool:
+    """Whether a base64url text is a JSON object, with ``alg`` if ``signed``."""
     try:
-        first, second = (json.loads(decoded(x) or b"") for x in (head, body))
+        value = json.loads(decoded(text) or b"")
     except (ValueError, UnicodeDecodeError, RecursionError):
         return False
-    return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
+    return isinstance(value, dict) and (not signed or isinstance(value.get("alg"), str))
+
+
+def tokens(run: str) -> Iterator[tuple[int, int]]:
+    """The spans of signed tokens in a run of base64url characters and dots."""
+    parts, at, after = run.split("."), 0, 0
+    for k, part in enumerate(parts[:-2]):
+        if at >= after and parts[k + 1]:
+            for m in _HEAD.finditer(part):
+                # a header is plain text: what begins otherwise is not decoded in full
+                start = decoded(part[m.start() : m.start() + 64]) or b""
+                if start.isascii() and start.decode().isprintable() and is_object(part[m.start() :], signed=True):
+                    if is_object(parts[k + 1], signed=False):
+                        after = at + len(part) + len(parts[k + 1]) + len(parts[k + 2]) + 2
+                        yield at + m.start(), after
+                    break
+        at += len(part) + 1
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:
@@ -151,21 +205,21 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     keys = set()
-    for m in _HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            keys.add((m.start(), 3, m.end()))
+    for m in _HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
+            keys.add((m.start(), kind, m.end()))
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = decoded(re.sub(r"\s+|\\[nr]", "", m[2])) or b""
-            kind = 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
-            if kind:
-                keys.add((m.start(), kind, m.end()))
+        marks = list(_PEM.finditer(text))
+        for m, end in zip(marks, marks[1:], strict=False):
+            if (m[1], end[1]) == ("BEGIN", "END") and m[2] == end[2] and (kind := pem_kind(text[m.end() : end.start()])):
+                keys.add((m.start(), kind, end.end()))
     for m in _BASE64.finditer(text):
-        data = decoded(m[0])
-        if data and (kind := 3 if data[0] == 0x30 and is_der_key(data) else 4 if is_ssh_key(data) else None):
+        if (data := decoded(m[0])) and (kind := key_kind(data)):
             keys.add((m.start(), kind, m.end()))
     if "eyJ" in text:
-        keys.update((m.start(), 5, m.end()) for m in _JWT.finditer(text) if is_token(m[0]))
+        for m in _DOTTED.finditer(text):
+            if "eyJ" in m[0]:
+                keys.update((m.start() + a, 5, m.start() + b) for a, b in tokens(m[0]))
     return sorted([*out, *keys])
 
 
