@@ -100,6 +100,17 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def at_most(rows: DataFrame, column: str, values: list, n: int, label: str) -> DataFrame:
+    """Up to ``n`` rows of ``rows`` (a written table) of each value of ``column``:
+    those with the smallest hashes of doc_id and text, however many rows repeat
+    an id."""
+    out = None
+    for k, v in enumerate(values):
+        own = rows.where(F.col(column) == v).orderBy(F.xxhash64("doc_id", "text", F.lit(label)), "doc_id").limit(n)
+        out = own if k == 0 else out.union(own)
+    return out
+
+
 def source_key(source: Column) -> Column:
     """A key that is never null and sorts as code points with null last."""
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("~"))

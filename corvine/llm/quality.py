@@ -10,7 +10,8 @@ expected grade and the probability of each tail follow for selection.
 
 Training fits up to ``sample_rows`` labelled texts, spread evenly over the grades
 as far as there are rows, with the smallest hashes of doc_id (a bound of the
-training set); features are made on the executors, and the fit weights rows back
+training set, also where many rows share an id); grades are numbers of any scale
+with few values; features are made on the executors, and the fit weights rows back
 to the grades' shares of all labels. Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts have no features and get the grade of the
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import words
-from corvine.llm.common import only, tune, written
+from corvine.llm.common import at_most, only, tune, written
 from corvine.llm.language import remainder
 
 SLOTS = 1 << 15
@@ -66,7 +67,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Model:
-    def __init__(self, grades: list[int], weights: np.ndarray, thresholds: np.ndarray):
+    def __init__(self, grades: list[float], weights: np.ndarray, thresholds: np.ndarray):
         self.grades, self.weights, self.thresholds = grades, weights, thresholds
 
     def tails(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -76,9 +77,35 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -30, 30)))
 
 
-def fit(rows: list[tuple], grades: list[int], share: dict[int, float], steps: int = 300, ridge: float = 2e-4, rate: float = 0.1) -> Model:
-    """Full-batch Adam on the weighted log likelihood. ``rows``: (grade index,
-    slots, values, shape) of each text."""
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, then each a positive step on."""
+    return np.concatenate((raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))))
+
+
+def loss(theta: np.ndarray, text: np.ndarray, slot: np.ndarray, value: np.ndarray, shape: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The penalised weighted negative log likelihood and its gradient. ``theta``:
+    weights of slots and shapes, then raw thresholds; ``y``: grade numbers."""
+    n, lines = len(y), np.arange(len(y))
+    w, raw = theta[: SLOTS + SHAPES], theta[SLOTS + SHAPES :]
+    k = len(raw)
+    z = np.bincount(text, weights=value * w[slot], minlength=n) + shape @ w[SLOTS:]
+    c = 1 / (1 + np.exp(np.clip(z[:, None] - cuts(raw)[None, :], -30, 30)))  # P(grade <= g)
+    full = np.concatenate((np.zeros((n, 1)), c, np.ones((n, 1))), axis=1)
+    p = np.maximum(full[lines, y + 1] - full[lines, y], 1e-9)
+    slope = np.concatenate((np.zeros((n, 1)), c * (1 - c), np.zeros((n, 1))), axis=1)
+    up, low = slope[lines, y + 1], slope[lines, y]
+    dz = weight * (up - low) / p
+    dcut = np.zeros(k)
+    np.add.at(dcut, np.minimum(y, k - 1), np.where(y < k, -weight * up / p, 0))
+    np.add.at(dcut, np.maximum(y - 1, 0), np.where(y > 0, weight * low / p, 0))
+    steps = np.exp(raw[1:]) * np.cumsum(dcut[::-1])[::-1][1:]
+    grad = np.concatenate((np.bincount(slot, weights=value * dz[text], minlength=SLOTS) + ridge * w[:SLOTS], shape.T @ dz + ridge * w[SLOTS:], [dcut.sum()], steps))
+    return float(-(weight * np.log(p)).sum() + ridge / 2 * (w @ w)), grad
+
+
+def fit(rows: list[tuple], grades: list[float], share: dict[float, float], steps: int = 300, ridge: float = 2e-4, rate: float = 0.1) -> Model:
+    """Full-batch Adam on ``loss``. ``rows``: (grade index, slots, values, shape)
+    of each text."""
     y = np.array([r[0] for r in rows])
     sizes = [len(r[1]) for r in rows]
     text, slot = np.repeat(np.arange(len(rows)), sizes), np.concatenate([r[1] for r in rows]).astype(np.int64)
@@ -90,25 +117,11 @@ def fit(rows: list[tuple], grades: list[int], share: dict[int, float], steps: in
     base = np.log(below / (1 - below))
     theta = np.concatenate((np.zeros(SLOTS + SHAPES), base[:1], np.log(np.maximum(np.diff(base), 1e-3))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    k = len(grades) - 1
     for t in range(1, steps + 1):
-        w, raw = theta[: SLOTS + SHAPES], theta[SLOTS + SHAPES :]
-        cut = np.concatenate((raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))))
-        z = np.bincount(text, weights=value * w[slot], minlength=len(rows)) + shape @ w[SLOTS:]
-        c = 1 / (1 + np.exp(np.clip(z[:, None] - cut[None, :], -30, 30)))  # P(grade <= g)
-        full = np.concatenate((np.zeros((len(rows), 1)), c, np.ones((len(rows), 1))), axis=1)
-        p = np.maximum(full[np.arange(len(rows)), y + 1] - full[np.arange(len(rows)), y], 1e-9)
-        slope = np.concatenate((np.zeros((len(rows), 1)), c * (1 - c), np.zeros((len(rows), 1))), axis=1)
-        up, low = slope[np.arange(len(rows)), y + 1], slope[np.arange(len(rows)), y]
-        dz = weight * (up - low) / p
-        dcut = np.zeros(k)
-        np.add.at(dcut, np.minimum(y, k - 1), np.where(y < k, -weight * up / p, 0))
-        np.add.at(dcut, np.maximum(y - 1, 0), np.where(y > 0, weight * low / p, 0))
-        grad = np.concatenate((np.bincount(slot, weights=value * dz[text], minlength=SLOTS) + ridge * w[:SLOTS], shape.T @ dz + ridge * w[SLOTS:], [dcut.sum()], np.exp(raw[1:]) * np.cumsum(dcut[::-1])[::-1][1:]))
+        _, grad = loss(theta, text, slot, value, shape, y, weight, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    raw = theta[SLOTS + SHAPES :]
-    return Model(grades, theta[: SLOTS + SHAPES], np.concatenate((raw[:1], raw[0] + np.cumsum(np.exp(raw[1:])))))
+    return Model(grades, theta[: SLOTS + SHAPES], cuts(theta[SLOTS + SHAPES :]))
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +142,7 @@ def learn(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     contradicting ratings of an id count as the smallest."""
     spark = docs.sparkSession
     tune(spark)
-    ratings = written(ratings.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade")), "ratings")
+    ratings = written(ratings.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("double").alias("grade")), "ratings")
     counts = {r["grade"]: r["count"] for r in ratings.groupBy("grade").count().collect()}
     if not counts:
         return None
@@ -140,9 +153,10 @@ def learn(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     for g in grades:
         own = ratings.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max(1, sample_rows // len(grades)))
         chosen = own if chosen is None else chosen.union(own)
-    # at most sample_rows rows are broadcast and their features collected
-    sample = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
-    rows = sample.mapInArrow(_training, "grade int, slots binary, values binary, shape binary").collect()
+    # at most sample_rows ids are broadcast, and features of as many rows collected
+    joined = written(only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    sample = at_most(joined, "grade", grades, max(1, sample_rows // len(grades)), "quality").select("grade", "text")
+    rows = sample.mapInArrow(_training, "grade double, slots binary, values binary, shape binary").collect()
     if not rows:
         return None
     index = {g: k for k, g in enumerate(grades)}

@@ -1,7 +1,8 @@
 """Toxicity by Levenshtein automata over a lexicon trie, read in context.
 
-Learning: up to ``per_class`` labelled texts of either class, those with the
-smallest hashes of doc_id (a bound of the training set, not of what is scored).
+Learning: up to ``per_class`` labelled rows of either class, those with the
+smallest hashes of doc_id and text (a bound of the training set, not of what is
+scored; the lexicon holds words of these rows only).
 A word is a term if its log odds of being in a toxic text, less ``z`` standard
 errors, are over ``least``. Toxic texts count only as far as the word has distinct
 neighbourhoods (the word before and the word after) in them, so words of copied
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import only, tune, written
+from corvine.llm.common import at_most, only, tune, written
 from corvine.llm.language import remainder
 
 PER_CLASS = 4000
@@ -289,8 +290,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, z: flo
     chosen = labels.where("toxic = 1").orderBy(order, "doc_id").limit(per_class).union(labels.where("toxic = 0").orderBy(order, "doc_id").limit(per_class))
     share = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     base = share.get(1, 0) / max(1, sum(share.values()))
-    # at most 2 * per_class rows are broadcast
-    sample = written(only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").repartition(24), "sample")
+    # at most 2 * per_class ids are broadcast, and as many rows learned from
+    joined = written(only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    sample = written(at_most(joined, "toxic", [0, 1], per_class, "toxicity").select("toxic", "text").repartition(24), "sample")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model(Lexicon({}), np.zeros(7), base)
