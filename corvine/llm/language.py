@@ -14,9 +14,9 @@ labels breaks ties.
 
 The sample takes up to ``per_language`` rows of each language, those with the
 smallest hashes of doc_id (a bound of the training set, not of what is
-predicted), with whole texts; the n-grams are counted on the executors, and the
-driver keeps up to ``table_bits`` of filter. Prediction is one pass without a
-shuffle.
+predicted), with whole texts; the n-grams are counted and their bits set on the
+executors, and the driver gets the table of 2**``table_bits`` rows. Prediction is
+one pass without a shuffle, and reads long texts in slices.
 
 Defined results: ``und`` with score 0 for a null text or a text without a
 letter, or if nothing was learned; a null lang teaches nothing; repeated rows
@@ -40,8 +40,7 @@ from corvine.llm.common import only, tune, written
 HASHES = 3
 WIDTHS = (3, 4)
 PER_LANGUAGE = 2000
-TABLE_BITS = 20
-MAX_NGRAMS = 60_000
+TABLE_BITS = 21
 
 
 @cache
@@ -52,24 +51,35 @@ def _letters() -> np.ndarray:
     return np.where(table, points, 0).astype(np.uint32)
 
 
-def ngrams(text: str | None) -> np.ndarray:
-    """Hashes of all n-grams of a text, in both widths; none without a letter."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    code = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    if not code.any():
-        return np.zeros(0, np.uint64)
-    code = np.concatenate(([0], code, [0])).astype(np.uint64)
-    keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-    code = code[keep]
+def ngrams(text: str | None, slice_: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Hashes of all n-grams of a text, in both widths, from slices of it; none
+    without a letter."""
+    text = (text or "").lower()
+    carried, some, held = np.zeros(1, np.uint64), False, []
+    for at in range(0, len(text), slice_):
+        code = _letters()[np.frombuffer(text[at : at + slice_].encode("utf-32-le", "replace"), np.uint32)].astype(np.uint64)
+        keep = (code != 0) | (np.concatenate((carried[-1:], code[:-1])) != 0)
+        code = code[keep]
+        if at + slice_ >= len(text) and (code[-1:] if len(code) else carried[-1:]).any():
+            code = np.append(code, np.uint64(0))
+        some = some or code.any()
+        held.append(_hashed(carried, code))
+        carried = np.concatenate((carried, code))[-(max(WIDTHS) - 1) :]
+        if some:
+            yield from held
+            held = []
+
+
+def _hashed(carried: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that end in ``code``."""
     out = []
     for width in WIDTHS:
-        n = len(code) - width + 1
+        own = np.concatenate((carried[-(width - 1) :], code))
+        n = len(own) - width + 1
         if n > 0:
-            h = code[:n].copy()
+            h = own[:n].copy()
             for k in range(1, width):
-                h |= code[k : k + n] << np.uint64(21 * k) if k < 3 else (code[k : k + n] << np.uint64(43)) ^ (code[k : k + n] >> np.uint64(3))
+                h |= own[k : k + n] << np.uint64(21 * k) if k < 3 else (own[k : k + n] << np.uint64(43)) ^ (own[k : k + n] >> np.uint64(3))
             out.append(words.mix(h + np.uint64(width << 57)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -79,12 +89,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[np.ndarray]] = {}
 
     def flush(lang: str) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
+        grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held.pop(lang)]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            held.setdefault(lang, []).append(ngrams(text))
+            held.setdefault(lang, []).extend(ngrams(text))
         for lang in [x for x, v in held.items() if sum(map(len, v)) > 4_000_000]:
             yield flush(lang)
     for lang in list(held):
@@ -122,11 +132,21 @@ class Model:
         return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        grams = [ngrams(t) for t in texts]
-        n = np.array([len(g) for g in grams], float)
-        if not self.langs or not n.any():
+        n, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
+        held, own, size = [], [], 0
+        for k, text in enumerate(texts if self.langs else []):
+            for grams in ngrams(text):
+                n[k] += len(grams)
+                held.append(grams)
+                own.append(k)
+                size += len(grams)
+                if size > 1 << 21:
+                    hits += self.popcounts(np.concatenate(held), np.repeat(own, [len(g) for g in held]), len(texts))
+                    held, own, size = [], [], 0
+        if size:
+            hits += self.popcounts(np.concatenate(held), np.repeat(own, [len(g) for g in held]), len(texts))
+        if not n.any():
             return ["und"] * len(texts), [0.0] * len(texts)
-        hits = self.popcounts(np.concatenate(grams), np.repeat(np.arange(len(texts)), n.astype(int)), len(texts))
         true = np.clip((hits - self.false * n[:, None]) / (1 - self.false), 0, None)
         best = np.argmax(true + 1e-9 * self.prior, axis=1)
         top = true[np.arange(len(texts)), best]
@@ -156,14 +176,16 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, table_bits: int
     langs = sorted(counts, key=lambda x: (-counts[x], x))
     total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(max(1, totals.get(lang, 0))))])
     share = grams.withColumn("share", F.col("n") / total[F.col("lang")])
-    # one filter holds its most frequent n-grams: they carry the text and keep the fill low
     top = share.join(share.groupBy("gram").agg(F.max("share").alias("largest")), "gram").where("share >= 0.5 * largest and n > 1")
-    top = top.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_rank") <= MAX_NGRAMS)
-    held = top.select("lang", "gram").toPandas()
+    # bits are set on the executors: what comes back is one row a row of the table at most
+    number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])[F.col("lang")]
+    mask = F.lit((1 << table_bits) - 1)
+    step = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1))
+    places = F.array(*[(F.col("gram").bitwiseAND(mask) + (step * k).bitwiseAND(mask)).bitwiseAND(mask) for k in range(HASHES)])
+    bits = top.select(F.explode(places).alias("slot"), F.floor(number / 64).alias("part"), F.call_function("shiftleft", F.lit(1).cast("long"), (number % 64).cast("int")).alias("bits"))
+    held = bits.groupBy("slot", "part").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros((1 << table_bits, -(-len(langs) // 64)), np.uint64)
-    for k, lang in enumerate(langs):
-        for at in Model.places(held["gram"][held["lang"] == lang].to_numpy(np.int64).view(np.uint64), len(table)):
-            table[at, k // 64] |= np.uint64(1 << (k % 64))
+    table[held["slot"].to_numpy(np.int64), held["part"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
     prior = np.log(np.array([counts[x] for x in langs]) / sum(counts.values()))
     return Model(langs, prior, table)
 
