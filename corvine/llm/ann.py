@@ -3,7 +3,9 @@
 Vectors that take part (of the table's most frequent length, finite, not zero)
 are reduced to distinct ones, each with its smallest ids, so that thousands of
 equal vectors are one node and ties come out exactly. Nodes are dealt by hash to
-shards of about ``shard_rows``. A shard is indexed in one task: an extra
+up to 8 shards, and to more when shards would hold over ``shard_values`` numbers
+(131,072 vectors of 64): a query is searched in every shard, so shards are as
+large as a task's memory lets them. A shard is indexed in one task: an extra
 coordinate gives all its vectors one length, so that the largest inner product
 is the least distance; starting from random edges, batches of nodes look for
 their neighbours by greedy search, relaxed distance pruning keeps diverse edges
@@ -14,12 +16,14 @@ Queries go through every shard in blocks, by beam search in single precision;
 the beam's nodes are scored again in double precision on the original vectors.
 Each query's best of all shards are ranked, ties to the smaller id.
 
-A shard's index is one row of a written table; a search task holds one index and
-one block of queries. Nothing but counts goes to the driver.
+A shard's index is one row of a written table; a search task decodes one index
+for a group of about 65,536 queries. Nothing but counts goes to the driver.
 
 Defined results: vectors that are null, zero, of another length, or hold null or
 non-finite components are neither queries nor candidates; rows with a null
-vec_id neither; rows that repeat a vec_id with one vector are one candidate; an
+vec_id neither; rows that repeat a vec_id with one vector are one candidate and one
+query; rows that repeat a vec_id with other vectors are candidates and queries of
+their own (two lists under one query_id), but not each other's neighbours; an
 empty table gives no rows.
 """
 
@@ -30,14 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.common import arrow_batches, only, ship, written
 
 DEGREE, SLACK, BEAM, ALPHA = 32, 64, 48, 1.2
-SHARD_ROWS = 8192
-QUERY_BLOCK = 512
+SHARD_VALUES = 1 << 23
+SMALL_SHARD = 8192
+QUERY_GROUP = 1 << 16
+
+
+def _block(n: int) -> int:
+    """Queries that are searched at once: their marks of ``n`` nodes stay within
+    32 MB."""
+    return max(32, min(512, (1 << 25) // max(1, n)))
 
 
 def _valid(width: int):
@@ -45,14 +57,11 @@ def _valid(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vecs = [], []
-            for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist(), strict=True):
-                if i is not None and v is not None and len(v) == width and None not in v:
-                    x = np.array(v, np.float64)
-                    if np.isfinite(x).all() and x.any():
-                        ids.append(i)
-                        vecs.append((x + 0.0).tobytes())  # -0.0 becomes 0.0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], ["vec_id", "vec"])
+            fits = pc.fill_null(pc.equal(pc.list_value_length(b.column("embedding")), width), False)
+            b = b.filter(pc.and_(fits, pc.is_valid(b.column("vec_id"))))
+            x = pc.fill_null(b.column("embedding").flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(-1, width) + 0.0  # -0.0 becomes 0.0
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(good)), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["vec_id", "vec"])
 
     return run
 
@@ -93,7 +102,7 @@ def greedy(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndar
         pick = pick[pick.any(axis=1)]
         r, c = np.nonzero(pick)
         open_[rows[r], c] = False
-        near = graph[ids[rows[r], c]]
+        near = graph[ids[rows[r], c]].astype(np.int64)
         q = np.repeat(rows[r], near.shape[1])
         near = near.ravel()
         ok = near >= 0
@@ -152,15 +161,15 @@ def pruned(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int
     return out
 
 
-def build(vectors: np.ndarray, seed: int = 7, batch: int = 512, passes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build(vectors: np.ndarray, seed: int = 7, passes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lengthened vectors, graph, start nodes) of one shard."""
-    n = len(vectors)
+    n, batch = len(vectors), _block(len(vectors))
     norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
     scale = np.sqrt(norms.max()) or 1.0
     unit = vectors / scale
     x = np.concatenate((unit, np.sqrt(np.maximum(1 - norms / scale**2, 0))[:, None]), axis=1).astype(np.float32)
     rng = np.random.default_rng(seed)
-    graph = np.full((n, SLACK), -1, np.int64)
+    graph = np.full((n, SLACK), -1, np.int32)
     if n > 1:
         some = min(DEGREE // 2, n - 1)
         graph[:, :some] = (np.arange(n)[:, None] + rng.integers(1, n, (n, some))) % n
@@ -210,45 +219,38 @@ def _index(width: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, QUERY_BLOCK):
-            part = b.slice(k, QUERY_BLOCK)
-            ids = part.column("vec_id").to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([b"".join(part.column("vec").to_pylist())], pa.binary())], ["query_ids", "queries"])
-
-
 def _search(width: int, k: int, beam: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, width)
-                graph = np.frombuffer(row["graph"], np.int32).reshape(-1, SLACK).astype(np.int64)
-                counts = np.frombuffer(row["counts"], np.int64)
-                ids, at = np.frombuffer(row["ids"], np.int64), np.concatenate(([0], np.cumsum(counts)))
-                queries = np.frombuffer(row["queries"], np.float64).reshape(-1, width)
-                found, _ = greedy(vectors.astype(np.float32), graph, np.frombuffer(row["start"], np.int64), queries.astype(np.float32), beam)
-                out = []
-                for q, own, nodes in zip(np.frombuffer(row["query_ids"], np.int64).tolist(), queries, found, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    score = (vectors[nodes] * own).sum(axis=1)
-                    near = np.concatenate([ids[at[j] : at[j + 1]] for j in nodes])
-                    score = np.repeat(score, counts[nodes])
-                    score, near = score[near != q], near[near != q]
-                    best = np.lexsort((near, -score))[:k]
-                    out.append((np.full(len(best), q), near[best], score[best]))
-                q, near, score = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(near), pa.array(score)], ["query_id", "vec_id", "score"])
+    def run(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "query_key": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(index) or not len(asked):
+            return empty
+        row = index.iloc[0]
+        vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, width)
+        graph, start = np.frombuffer(row["graph"], np.int32).reshape(-1, SLACK), np.frombuffer(row["start"], np.int64)
+        counts = np.frombuffer(row["counts"], np.int64)
+        ids, at = np.frombuffer(row["ids"], np.int64), np.concatenate(([0], np.cumsum(counts)))
+        short, out = vectors.astype(np.float32), []
+        for b in range(0, len(asked), _block(len(vectors))):
+            part = asked.iloc[b : b + _block(len(vectors))]
+            queries = np.frombuffer(b"".join(part["vec"]), np.float64).reshape(-1, width)
+            found, _ = greedy(short, graph, start, queries.astype(np.float32), beam)
+            for q, key, own, nodes in zip(part["vec_id"].tolist(), part["query_key"].tolist(), queries, found, strict=True):
+                nodes = nodes[nodes >= 0]
+                score = np.repeat((vectors[nodes] * own).sum(axis=1), counts[nodes])
+                near = np.concatenate([ids[at[j] : at[j + 1]] for j in nodes])
+                score, near = score[near != q], near[near != q]
+                best = np.lexsort((near, -score))[:k]
+                out.append((np.full(len(best), q), np.full(len(best), key), near[best], score[best]))
+        return pd.DataFrame(dict(zip(empty.columns, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
     return run
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = 100) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 20, shard_values: int = SHARD_VALUES, beam: int = 100) -> DataFrame:
     """The ``k`` nearest of all rows of ``table`` (vec_id, embedding) for every
     row where ``is_query`` holds: query_id, rank, vec_id, score."""
     spark = table.sparkSession
     ship(spark)
-    schema = "query_id long, vec_id long, score double"
     table = only(table, "vec_id", "embedding").withColumn("vec_id", F.col("vec_id").cast("long"))
     width = table.where("embedding is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None:
@@ -259,15 +261,18 @@ def nearest(table: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROW
         merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")
         part = valid.mapInArrow(_smallest(k + 1), "vec binary, ids array<long>").withColumn("salt", F.spark_partition_id() % 64)
         nodes = written(part.groupBy("vec", "salt").agg(merged).groupBy("vec").agg(merged), "nodes")
-        shards = max(1, -(-nodes.count() // shard_rows))
+        n = nodes.count()
+        shards = max(1, -(-n * width // shard_values), min(8, -(-n // SMALL_SHARD)))
         dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
         index = dealt.groupBy("shard").applyInPandas(_index(width), "shard int, vectors binary, graph binary, start binary, ids binary, counts binary")
         index = written(index, "index")
-        blocks = valid.where(is_query).select("vec_id", "vec").distinct().mapInArrow(_blocks, "query_ids binary, queries binary")
-        blocks = written(blocks, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    with arrow_batches(spark, 1):
-        found = written(blocks.join(index, "shard").mapInArrow(_search(width, k, beam), schema), "found")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        asked = written(valid.where(is_query).select("vec_id", "vec").distinct().withColumn("query_key", F.xxhash64("vec")), "queries")
+        groups = max(1, -(-asked.count() // QUERY_GROUP))
+        by_group = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        by_shard = asked.withColumn("group", F.pmod(F.xxhash64("vec_id", "query_key"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        both = by_group.groupBy("shard", "group").cogroup(by_shard.groupBy("shard", "group"))
+        found = written(both.applyInPandas(_search(width, k, beam), "query_id long, query_key long, vec_id long, score double"), "found")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

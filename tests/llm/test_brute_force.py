@@ -238,7 +238,7 @@ def test_neighbours_recall(spark):
     x[700:760] = x[700]
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=400).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, shard_values=400 * 12).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     hits = 0
     for q in range(0, 1500, 20):

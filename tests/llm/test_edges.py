@@ -86,6 +86,8 @@ def test_awkward_vectors_and_pages(spark):
     df = spark.createDataFrame(vs, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.5)]
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in ann.nearest(twice, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1, 3.0), (0, 1, 1, 4.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     pages = spark.createDataFrame([(1, "u", "x", "e"), (2, None, "x", "e"), (3, "u", None, "e"), (4, "u", "", "e"), (None, "u", "x", "e")], "page_id long, url string, html string, shard string")
     for table, want in ((pages, 5), (pages.limit(0), 0)):
