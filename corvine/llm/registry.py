@@ -1,10 +1,9 @@
-"""The queries of this subpackage and their SQL."""
+"""The operators' queries and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from corvine.llm.ann import op9_ann
@@ -31,9 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_ann": op9_ann,
         "op10_toxicity": op10_toxicity,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    return {"op1_mixing": OP1_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
