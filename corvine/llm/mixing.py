@@ -79,11 +79,11 @@ def _schedule(spark: SparkSession, plan: DataFrame, n: int) -> DataFrame:
     return ranked.withColumn("block", F.col("before") + F.col("rank")).where("block < last").select("key", "block", "slot")
 
 
-def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> tuple[DataFrame, DataFrame, int]:
+def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> tuple[DataFrame, DataFrame, int, int]:
     """``sizes``: a written table of _rid, doc_id, key, size, mark (a hash of the
     text). Returns the pieces that the schedule plays (_rid, doc_id, key,
     repetition, word_from, words, block, slot), the sources with their targets,
-    and the number of sources."""
+    and the numbers of sources and slots."""
     spark = sizes.sparkSession
     stats = written(_targets(sizes, weights, share, repeats), "sources")
     n_sources, total = stats.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
@@ -105,7 +105,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     cut = placed.withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")))
     low, high = F.greatest("begin", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
     pieces = cut.select("_rid", "doc_id", "key", "repetition", "block", (low - F.col("begin")).alias("word_from"), (high - low).alias("words"))
-    return pieces.join(schedule.hint("merge"), ["key", "block"]), stats, n_sources
+    return pieces.join(schedule.hint("merge"), ["key", "block"]), stats, n_sources, n
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     base = written(docs.withColumn(rid, F.monotonically_increasing_id()), "base")
     mark = F.coalesce(F.md5("text"), F.lit("")).alias("mark")
     sizes = written(base.select(F.col(rid).alias("_rid"), "doc_id", source_key(F.col("source")).alias("key"), word_count("text").alias("size"), mark), "sizes")
-    pieces, _, _ = mix(sizes, **options)
+    pieces, _, _, slots = mix(sizes, **options)
     spans = pieces.groupBy(F.col("_rid").alias(rid), "repetition").agg(F.min("word_from").alias("_from"), F.sum("words").alias("_words"), F.min("slot").alias("_slot"))
     spans = spans.select(rid, F.struct("_from", "_words", "_slot").alias("_corvine_span"))
     rows = base.join(spans, rid)
@@ -131,14 +131,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("text", F.when(word_count("text") == n, F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.sort("_corvine_span._slot", rid).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # tasks get equal stretches of the schedule, so nothing has to be sampled first
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    end = F.lit(float(max(1, slots)))
+    task = F.least(F.lit(tasks - 1), F.floor(F.col("_corvine_span._slot") / end * tasks)).cast("int")
+    return rows.repartitionById(tasks, task).sortWithinPartitions("_corvine_span._slot", rid).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``first_slot``: the first slot of the schedule that plays the document."""
     docs = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "source", "text")
     sizes = written(sized(docs), "sizes")
-    pieces, stats, n = mix(sizes)
+    pieces, stats, n, _ = mix(sizes)
     taken = pieces.groupBy("_rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = joined_small(sizes, stats.select("key", "source_size", "target"), "key", n).join(taken, "_rid", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

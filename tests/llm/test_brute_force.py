@@ -58,6 +58,35 @@ def test_components_equal_all_pairs(spark, monkeypatch, small):
     assert [got[k].n_shingles for k in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, "s", f"{one}\n{two}\n{one} {rest}"), (2, "s", f"{one} x"), (3, "s", f"{two} x"), (4, "s", f"{one.upper()} x")], "doc_id long, source string, text string")
+    assert {r.doc_id: r.n_dup_lines for r in rules.quality_rules(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 3, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_texts_that_share_an_id_stay(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(2, a, 1), (2, b, 2), (2, a, 3), (1, a, 4), (3, b, 5), (None, a, 6), (4, "", 7), (4, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    stay = sorted((str(r.doc_id), r.key) for r in near_dup.drop_near_duplicates(df).collect())
+    assert stay == [("1", 4), ("2", 2), ("4", 7), ("4", 7), ("None", 6)]
+
+
+def test_long_texts_are_read_in_slices(monkeypatch):
+    text = " ".join(random.Random(1).choice(["aa", "Bb", "ccc", "é", "x\ny"]) for _ in range(3000)).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole, slices = [], []
+    h, first = near_dup.words.hashed(data, offs, True, whole)
+    g, last = near_dup.words.hashed(data, offs, True, slices)
+    monkeypatch.setattr(near_dup.words.slices, "__defaults__", (17,))
+    g, last = near_dup.words.hashed(data, offs, True, slices)
+    assert (h == g).all() and first.tolist() == last.tolist() and whole[0] == slices[0] == slices[1]
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.6, 0.9):
@@ -108,7 +137,7 @@ def test_mix_is_what_the_schedule_plays(spark):
     rows = [(k, rng.choice(["a"] * 6 + ["b", "c", None]), " ".join(["w"] * rng.randint(0, 60))) for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     taken, first, target, block = played(rows, [len(t.split()) for _, _, t in rows])
-    pieces, stats, _ = mixing.mix(written(mixing.sized(df), "t"))
+    pieces, stats, _, _ = mixing.mix(written(mixing.sized(df), "t"))
     got = {r.doc_id: (r.t, r.s) for r in pieces.groupBy("doc_id").agg(F.sum("words").alias("t"), F.min("slot").alias("s")).collect()}
     assert got == {k: (taken[k], s) for k, s in first.items()}
     assert all(taken[k] <= 2 * len(rows[k][2].split()) for k in range(len(rows)))
