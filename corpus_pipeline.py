@@ -52,8 +52,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The learned stage can't be said in SQL. Tests hold the stages' operators one by one
-#: against brute force, but not yet run() as a whole.
+#: The learned stage can't be said in SQL; tests/llm/test_pipeline.py holds what run()
+#: makes, stage by stage, against plain versions.
 ORACLE_SQL = None
 
 
