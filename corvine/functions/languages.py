@@ -21,8 +21,8 @@ EXTENSIONS = {
 }
 #: Extensions that a scan takes (fixed values).
 SCANNED = [".cpp", ".hpp", ".h", ".c", ".cc", ".cxx", ".hxx", ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".rs", ".go", ".rb", ".cs"]
-#: Folders that no scan enters (fixed values).
-PRUNED = [".git", "build", "node_modules", "__pycache__", ".vs", ".vscode", ".engram", ".claude", "target", "dist", "out", ".idea", ".venv", "venv", "env"]
+#: Folders that no scan enters unless told otherwise: generated, fetched, and the engine's own data.
+PRUNED = [".git", "build", "node_modules", "__pycache__", ".vs", ".vscode", ".corvine", ".claude", "target", "dist", "out", ".idea", ".venv", "venv", "env"]
 #: Patterns of lines that start a block, with its symbol as group 1 (fixed values).
 _SCRIPT = [
     r"^[ \t]*(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(",
@@ -58,11 +58,11 @@ def language(path: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[extension(path)], F.lit("unknown"))
 
 
-def scannable(path: Column) -> Column:
+def scannable(path: Column, pruned: list[str] = PRUNED) -> Column:
     """A wanted extension and no pruned folder on the way (the last part
     is the file itself)."""
     folders = F.split(path, "/")
-    return extension(path).isin(SCANNED) & ~F.arrays_overlap(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), F.array(*map(F.lit, PRUNED)))
+    return extension(path).isin(SCANNED) & ~F.arrays_overlap(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), F.array(*map(F.lit, pruned)))
 
 
 def symbol_of(line: Column, lang: Column) -> Column:

@@ -77,20 +77,16 @@ def a7(spark, sf):
     return p.groupBy("label").agg((F.round(F.sum("x"), 6) + 0.0).alias("total"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("square"))
 
 
-_PAIRS = f"pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.{V}, v.{V}), 6) + 0.0 AS score FROM embeddings q JOIN embeddings v ON q.vec_id < 20)"
-
-
-#: All queries of the job; the queries without ``_all`` keep the first 20 ids, as their SQL does.
+#: The query set of searches: every row whose id is divisible by 20, against all rows.
 ASKED = "vec_id % 20 = 0"
 
 
-def _knn(spark, sf, k, asked="vec_id < 20"):
+def _knn(spark, sf, k, asked=ASKED):
     e = table(spark, sf, "embeddings")
     return vectors.exact(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), k)
 
 
-_PAIRS_ALL = f"pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.{V}, v.{V}), 6) + 0.0 AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0)"
-_TOP_ALL = f"WITH {_PAIRS_ALL}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM pairs QUALIFY rank <= 10)"
+_PAIRS = f"pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.{V}, v.{V}), 6) + 0.0 AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0)"
 _TOP = f"WITH {_PAIRS}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM pairs QUALIFY rank <= 10)"
 
 
@@ -99,22 +95,8 @@ def j8(spark, sf):
     return _knn(spark, sf, 10)
 
 
-@query("j8_exact_knn_all", f"{_TOP_ALL} SELECT query_id, rank, id, score FROM top")
-def j8_all(spark, sf):
-    return _knn(spark, sf, 10, ASKED)
-
-
-@query("l2_multi_project_topk", f"WITH {_PAIRS}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r FROM pairs QUALIFY r <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, label, id, score FROM own QUALIFY rank <= 10")
+@query("l2_multi_project_topk", f"WITH {_PAIRS}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r FROM pairs QUALIFY r <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, label::BIGINT AS label, id, score FROM own QUALIFY rank <= 10")
 def l2(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.select(F.col("vec_id").alias("id"), "label", "embedding").join(F.broadcast(q)).withColumn("score", F.round(text.cosine(F.col("q"), F.col("embedding")), 6) + 0.0)
-    own = vectors.ranked(scored, 10, ["query_id", "label"], ["id"], "r")
-    return vectors.ranked(own, 10, ["query_id"], ["id"]).select("query_id", "rank", "label", "id", "score")
-
-
-@query("l2_multi_project_topk_all", f"WITH {_PAIRS_ALL}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r FROM pairs QUALIFY r <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, label::BIGINT AS label, id, score FROM own QUALIFY rank <= 10")
-def l2_all(spark, sf):
     e = table(spark, sf, "embeddings")
     asked = e.where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
     return vectors.exact_by_group(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), asked, 10, "label")
@@ -125,23 +107,23 @@ def j1(spark, sf):
     return _with_warning(spark, sf, _knn(spark, sf, 10))
 
 
-@query("j1_hit_lookup_with_warning_all", f"{_TOP_ALL} SELECT query_id, id, score, d.lang, CASE WHEN d.doc_id IS NULL THEN 'chunk metadata not found' END AS warning FROM top LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = top.id")
-def j1_all(spark, sf):
-    return _with_warning(spark, sf, _knn(spark, sf, 10, ASKED))
-
-
 def _with_warning(spark, sf, found):
     held = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.lit("p").alias("project"), F.col("doc_id").alias("chunk_id"), "lang", F.col("source").alias("file_path"))
     hits = found.withColumn("project", F.lit("p")).withColumnRenamed("id", "chunk_id")
     return tools.with_chunks(hits, held).select("query_id", F.col("chunk_id").alias("id"), "score", "lang", "warning")
 
 
-@query("q1_score_visibility", f"WITH {_PAIRS} SELECT query_id, id, CASE WHEN score >= 0 THEN score END AS score FROM pairs WHERE query_id = 3")
+_BOTH_ENDS = f"{_TOP}, far AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS r FROM pairs QUALIFY r <= 10)"
+
+
+@query("q1_score_visibility", f"{_BOTH_ENDS} SELECT query_id, id, CASE WHEN score >= 0 THEN score END AS score FROM (SELECT query_id, id, score FROM top UNION ALL SELECT query_id, id, score FROM far)")
 def q1(spark, sf):
+    """Scores of the ten nearest and the ten farthest rows of each query, none shown below 0."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    score = F.round(text.cosine(F.col("q"), F.col("embedding")), 6) + 0.0
-    return e.join(F.broadcast(q)).select("query_id", F.col("vec_id").alias("id"), F.when(score >= 0, score).alias("score"))
+    away = e.where(ASKED).select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: -x).alias("v"))
+    far = vectors.exact(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), away, 10)
+    found = _knn(spark, sf, 10).select("query_id", "id", "score").union(far.select("query_id", "id", (-F.col("score")).alias("score")))
+    return found.select("query_id", "id", F.when(F.col("score") >= 0, F.col("score") + 0.0).alias("score"))
 
 
 def _two(spark, sf):
@@ -164,11 +146,6 @@ def l9(spark, sf):
 
 @query("v6_remove_then_search", f"WITH {_PAIRS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM pairs WHERE id % 5 <> 0 QUALIFY rank <= 10")
 def v6(spark, sf):
-    return _after_remove(spark, sf, "vec_id < 20")
-
-
-@query("v6_remove_then_search_all", f"WITH {_PAIRS_ALL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM pairs WHERE id % 5 <> 0 QUALIFY rank <= 10")
-def v6_all(spark, sf):
     return _after_remove(spark, sf, ASKED)
 
 
@@ -185,17 +162,8 @@ def a2(spark, sf):
     return vectors.remove(e, e.where("id % 5 = 0")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("a14_similar_pairs", f"WITH p AS (SELECT a.label = b.label AS same, round(list_cosine_similarity(a.{V}, b.{V}), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < 40 AND b.vec_id < a.vec_id) SELECT min(s) FILTER (same) AS least_similar, max(s) FILTER (NOT same) AS most_dissimilar, min(s) FILTER (same) > max(s) FILTER (NOT same) AS apart FROM p")
+@query("a14_similar_pairs", f"WITH p AS (SELECT a.label = b.label AS same, round(list_cosine_similarity(a.{V}, b.{V}), 6) + 0.0 AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) SELECT min(s) FILTER (same) AS least_similar, max(s) FILTER (NOT same) AS most_dissimilar, min(s) FILTER (same) > max(s) FILTER (NOT same) AS apart FROM p")
 def a14(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 40")
-    b = e.select(F.col("vec_id").alias("o"), F.col("label").alias("l"), F.col("embedding").alias("w"))
-    p = e.join(F.broadcast(b), F.col("o") < F.col("vec_id")).select((F.col("label") == F.col("l")).alias("same"), F.round(text.cosine(F.col("embedding"), F.col("w")), 6).alias("s"))
-    least, most = F.min(F.when(F.col("same"), F.col("s"))), F.max(F.when(~F.col("same"), F.col("s")))
-    return p.agg(least.alias("least_similar"), most.alias("most_dissimilar"), (least > most).alias("apart"))
-
-
-@query("a14_similar_pairs_all", f"WITH p AS (SELECT a.label = b.label AS same, round(list_cosine_similarity(a.{V}, b.{V}), 6) + 0.0 AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) SELECT min(s) FILTER (same) AS least_similar, max(s) FILTER (NOT same) AS most_dissimilar, min(s) FILTER (same) > max(s) FILTER (NOT same) AS apart FROM p")
-def a14_all(spark, sf):
     e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "v")
     return vectors.extremes(e.withColumnRenamed("vec_id", "id"), e.where(ASKED).withColumnRenamed("vec_id", "query_id"))
 
@@ -265,16 +233,8 @@ def p4(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.contains_icase(F.col("text"), F.lit("The TH")).alias("hit"))
 
 
-@query("p5_all_words", f"WITH q AS (SELECT item_id, list_filter(string_split_regex({LOW.format('substr(text, 1, 24)')}, '\\s+'), lambda w: w <> '') AS ws FROM benchmark) SELECT item_id, count(*) AS n FROM q JOIN (SELECT {LOW.format('text')} AS t FROM documents) d ON len(list_filter(ws, lambda w: NOT contains(t, w))) = 0 GROUP BY item_id")
+@query("p5_all_words", f"WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex({LOW.format('text')}, '\\s+'), lambda w: w <> '')) AS ws FROM benchmark) SELECT item_id, count(*) AS n FROM q JOIN (SELECT {LOW.format('text')} AS t FROM documents) d ON len(list_filter(ws, lambda w: NOT contains(t, w))) = 0 GROUP BY item_id")
 def p5(spark, sf):
-    q = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 24).alias("q"))
-    d = table(spark, sf, "documents").select("text")
-    return d.join(F.broadcast(q)).where(text.contains_all_words(F.col("text"), F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
-
-
-@query("p5_all_words_whole")
-def p5_whole(spark, sf):
-    """All words of the whole benchmark texts; ``p5_all_words`` keeps their first 24 characters, as its SQL does."""
     return words.count_all_words(table(spark, sf, "documents").select("text"), table(spark, sf, "benchmark").select("item_id", "text"))
 
 

@@ -13,11 +13,11 @@ from corvine.functions.languages import PRUNED, SCANNED
 from corvine.session import ship
 
 
-def walk(root: str) -> list[str]:
+def walk(root: str, skip: tuple[str, ...] = tuple(PRUNED)) -> list[str]:
     """Sorted paths of wanted files; pruned and unreadable folders are
     not entered. Spark's file sources pass over names that start with ``_`` or
     ``.``, so trees are walked here and read by the executors."""
-    out, pruned, wanted = [], set(PRUNED), set(SCANNED)
+    out, pruned, wanted = [], set(skip), set(SCANNED)
     for folder, folders, names in os.walk(root, onerror=lambda _: None):
         folders[:] = sorted(d for d in folders if d not in pruned)
         for name in names:

@@ -38,10 +38,10 @@ def test_exact_searches_answer_all_queries(spark, sf):
     want = sorted((q, *x) for q, line in zip(asked.tolist(), s, strict=True) for x in top(line, ids >= 0))
     left = sorted((q, *x) for q, line in zip(asked.tolist(), s, strict=True) for x in top(line, ids % 5 != 0))
     close = lambda got, want: [x[:-1] for x in got] == [x[:-1] for x in want] and np.allclose([x[-1] for x in got], [x[-1] for x in want], atol=2e-6)
-    assert close(rows("j8_exact_knn_all", "query_id", "rank", "id", "score"), want)
-    assert close(rows("v6_remove_then_search_all", "query_id", "rank", "id", "score"), left)
-    assert close(rows("l2_multi_project_topk_all", "query_id", "rank", "id", "label", "score"), [(q, r, i, labels[i], x) for q, r, i, x in want])
-    assert close(rows("j1_hit_lookup_with_warning_all", "query_id", "id", "score"), sorted((q, i, x) for q, _, i, x in want))
+    assert close(rows("j8_exact_knn", "query_id", "rank", "id", "score"), want)
+    assert close(rows("v6_remove_then_search", "query_id", "rank", "id", "score"), left)
+    assert close(rows("l2_multi_project_topk", "query_id", "rank", "id", "label", "score"), [(q, r, i, labels[i], x) for q, r, i, x in want])
+    assert close(rows("j1_hit_lookup_with_warning", "query_id", "id", "score"), sorted((q, i, x) for q, _, i, x in want))
 
 
 def test_searches_by_blocks_and_groups(spark, monkeypatch):
@@ -62,7 +62,6 @@ def test_extremes_of_all_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
     ids, asked, labels, s = scores(spark, sf)
     other, same = asked[:, None] != ids, labels[asked][:, None] == labels
-    got = queries.QUERIES["a14_similar_pairs_all"](spark, f"{DATA}/{sf}").first()
+    got = queries.QUERIES["a14_similar_pairs"](spark, f"{DATA}/{sf}").first()
     want = (s[other & same].min(), s[other & ~same].max())
     assert np.allclose((got.least_similar, got.most_dissimilar), want, atol=2e-6) and got.apart == (want[0] > want[1])
-    assert queries.QUERIES["a14_similar_pairs"](spark, f"{DATA}/{sf}").first().least_similar > got.least_similar
