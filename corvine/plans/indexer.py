@@ -57,6 +57,7 @@ def index(spark: SparkSession, project: Project, rebuild: bool = False, limits:
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     if warm and not set(counts) - {"unchanged"}:
         found.unpersist()
+        status.unpersist()
         return counts
     delta = found.join(status.where("status in ('new', 'changed')").select("path"), "path", "left_semi")
     fresh = chunk_files(delta.select("path", "content"), limits).withColumn("project", F.lit(project.name))
@@ -66,14 +67,27 @@ def index(spark: SparkSession, project: Project, rebuild: bool = False, limits:
         old_vectors = stores.load(spark, project.vectors)
         vectors = old_vectors.join(stay.select("chunk_id"), "chunk_id", "left_semi").unionByName(vectors)
         fresh = stay.unionByName(fresh)
-    stores.save(fresh, project.chunks)
-    stores.save(vectors, project.vectors)
-    stores.save(listed, project.files)
+    stores.save_all({"chunks": fresh, "vectors": vectors, "files": listed}, project.data)
     found.unpersist()
+    status.unpersist()
     chunks = stores.load(spark, project.chunks)
     return counts | {"chunks": chunks.count(), "vectors": stores.load(spark, project.vectors).where("embedding is not null").count()}
 
 
+def specs(paths: list[str], data_dir: str = "", config: str = "") -> list[Project]:
+    """Projects of the command line, then those of a TOML file, the first
+    of every root. ``data_dir`` is for a single project; else data lies in the
+    project's own folder ``.corvine``."""
+    named = [{"path": p, "data_dir": data_dir if len(paths) == 1 else ""} for p in paths]
+    named += stores.projects(config) if config and os.path.isfile(config) else []
+    out = []
+    for s in named:
+        root = os.path.realpath(s["path"])
+        data = s["data_dir"] or f"{root}/.corvine"
+        out.append(Project(os.path.basename(root), root, data if "://" in data else f"file://{os.path.abspath(data)}"))
+    return distinct_projects(out)
+
+
 def chunks_of(spark: SparkSession, projects: list[Project]) -> DataFrame | None:
     """The chunks of all projects."""
     out = None

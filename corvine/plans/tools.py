@@ -12,7 +12,7 @@ from corvine.operators.vectors import ranked, searched
 from corvine.session import ship
 
 
-def output_rows(rows: DataFrame, root: Column, many_projects: bool = False) -> DataFrame:
+def output_rows(rows: DataFrame, root: Column, many_projects: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
     """What a tool shows of chunks: a relative path, a symbol only if
     there is one, a score only from 0 on, a project only among several."""
     shown = [relative_path(F.col("file_path"), root).alias("file_path"), "start_line", "end_line", "language", "source_text", "chunk_id", F.when(F.col("symbol_name") != "", F.col("symbol_name")).alias("symbol_name")]
@@ -20,6 +20,7 @@ def output_rows(rows: DataFrame, root: Column, many_projects: bool = False) -> D
         shown.append(F.when(F.col("score") >= 0, F.col("score")).alias("score"))
     if many_projects:
         shown.append("project")
+    shown += more
     return rows.select(*shown)
 
 

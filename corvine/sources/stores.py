@@ -1,7 +1,9 @@
 """Chunk, vector and session stores.
 
-Tables are Parquet snapshots: a write goes to a folder of its own and a pointer
-file is moved onto the name, so readers see the old or the new one whole.
+Tables are Parquet snapshots: a write goes to a folder of its own, and one file
+that names the current snapshots is moved over the old one, so readers see the old
+or the new tables whole, also after a crash between the two. A pointer names one
+table's snapshot, a manifest those of several tables that belong together.
 """
 
 from __future__ import annotations
@@ -19,21 +21,64 @@ from pyspark.sql import functions as F
 from corvine.schemas import CHUNK, SESSION, VECTOR
 
 
-def save(df: DataFrame, folder: str, partition: str | None = None) -> None:
-    """K1, K2: a staged snapshot, then the switch."""
-    spark = df.sparkSession
+def _paths(spark: SparkSession):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm, spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path
+
+
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """A small file's new content, switched to in one step."""
+    jvm, conf, Path_ = _paths(spark)
+    target, new = Path_(path), Path_(f"{path}.{uuid.uuid4().hex}.new")
+    out = target.getFileSystem(conf).create(new, True)
+    out.write(text.encode())
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(new, target, options)
+
+
+def _staged(df: DataFrame, folder: str, partition: str | None = None) -> str:
     name = f"snapshot-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition) if partition else writer).parquet(f"{folder}/{name}")
-    path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}")
-    fs = path("").getFileSystem(conf)
-    out = fs.create(path("_pointer.new"), True)
-    out.write(name.encode())
-    out.close()
-    fs.delete(path("pointer"), False)
-    fs.rename(path("_pointer.new"), path("pointer"))
+    return name
+
+
+def _snapshots(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """Age and name of all snapshots, the oldest first."""
+    _, conf, Path_ = _paths(spark)
+    fs = Path_(folder).getFileSystem(conf)
+    if not fs.exists(Path_(folder)):
+        return []
+    return sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(Path_(folder)) if s.getPath().getName().startswith("snapshot-"))
+
+
+def _cleaned(spark: SparkSession, folder: str, current: str, before: str | None) -> None:
+    """Snapshots but the current one and the one before it go: its readers may
+    still be at work."""
+    _, conf, Path_ = _paths(spark)
+    for _, name in _snapshots(spark, folder):
+        if name not in (current, before):
+            Path_(folder).getFileSystem(conf).delete(Path_(f"{folder}/{name}"), True)
+
+
+def save(df: DataFrame, folder: str, partition: str | None = None) -> None:
+    """K1, K2: a staged snapshot, then the switch."""
+    spark = df.sparkSession
+    name, before = _staged(df, folder, partition), _current(spark, folder)
+    _replace(spark, f"{folder}/pointer", name)
+    _cleaned(spark, folder, name, before)
+
+
+def save_all(tables: dict[str, DataFrame], data: str) -> None:
+    """Tables below ``data`` that are switched to together."""
+    spark = next(iter(tables.values())).sparkSession
+    before = {n: _current(spark, f"{data}/{n}") for n in tables}
+    names = {n: _staged(df, f"{data}/{n}") for n, df in tables.items()}
+    _replace(spark, f"{data}/manifest", json.dumps(names))
+    for n, name in names.items():
+        _cleaned(spark, f"{data}/{n}", name, before[n])
 
 
 def save_if(df: DataFrame, folder: str, changed: bool) -> bool:
@@ -43,10 +88,25 @@ def save_if(df: DataFrame, folder: str, changed: bool) -> bool:
     return changed
 
 
+def _current(spark: SparkSession, folder: str) -> str | None:
+    """The name of the current snapshot."""
+    if _exists(spark, f"{folder}/pointer"):
+        return spark.read.text(f"{folder}/pointer").first()[0]
+    parent, _, name = folder.rstrip("/").rpartition("/")
+    if _exists(spark, f"{parent}/manifest"):
+        return json.loads(spark.read.text(f"{parent}/manifest").first()[0]).get(name)
+    return None
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The current snapshot, None if there is none."""
-    rows = spark.read.text(f"{folder}/pointer").collect() if _exists(spark, f"{folder}/pointer") else []
-    return spark.read.parquet(f"{folder}/{rows[0][0]}") if rows else None
+    """The current snapshot, None if there is none. Snapshots that nothing names
+    as current are an error unless they are remains of a first write that failed."""
+    name = _current(spark, folder)
+    if name is not None:
+        return spark.read.parquet(f"{folder}/{name}")
+    if len(_snapshots(spark, folder)) > 1:
+        raise RuntimeError(f"{folder} has snapshots but no pointer to the current one")
+    return None
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -118,4 +178,5 @@ def projects(path: str) -> list[dict[str, str]]:
     """The ``[[project]]`` tables of a TOML file; other keys are ignored."""
     with open(path, "rb") as f:
         found = tomllib.load(f).get("project", [])
+    found = found if isinstance(found, list) else []
     return [{"path": str(p["path"]).strip(" \t\"'"), "data_dir": str(p.get("data_dir", "")).strip(" \t\"'")} for p in found if isinstance(p, dict) and p.get("path")]
