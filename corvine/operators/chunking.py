@@ -7,13 +7,18 @@ one shuffle however many stages it runs through. Sizes are bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.functions import syntax
 from corvine.functions.languages import PATTERNS, language, symbol_of
 from corvine.functions.text import chunk_id, is_blank
+from corvine.operators import intervals
+from corvine.session import ship
 
 
 @dataclass(frozen=True)
@@ -118,14 +123,65 @@ def merged(piece: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return group.select("path", "grp", "start_line", "end_line", F.coalesce("symbol", F.lit("")).alias("symbol"), text.alias("text"), "size")
 
 
-def chunk_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The chunks of (path, content) files, blank ones dropped."""
-    group = merged(pieces(blocks(boundaries(lines(files))), limits), limits).where(~is_blank(F.col("text")))
+def _emitted(group: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunk rows of merged groups, blank ones dropped."""
+    group = group.where(~is_blank(F.col("text")))
     hashes = files.select("path", F.sha2("content", 256).substr(1, 16).alias("file_content_hash"))
     chunk = group.select(F.col("text").alias("source_text"), F.col("path").alias("file_path"), "start_line", "end_line", language(F.col("path")).alias("language"), F.col("symbol").alias("symbol_name"), chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("chunk_id"))
     return chunk.join(hashes.withColumnRenamed("path", "file_path"), "file_path").select("source_text", "file_path", "start_line", "end_line", "language", "symbol_name", "chunk_id", "file_content_hash")
 
 
+def chunk_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The chunks of (path, content) files, by patterns of lines."""
+    return _emitted(merged(pieces(blocks(boundaries(lines(files))), limits), limits), files)
+
+
+def _defined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for path, lang, text in zip(*(b.column(c).to_pylist() for c in ("path", "lang", "content")), strict=True):
+            rows += [(path, first - 1, last, name) for first, last, name in syntax.definitions(text or "", lang) or []]
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "end", "symbol"), r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("symbol", pa.string())]))
+
+
+def defined(files: DataFrame) -> DataFrame:
+    """(path, start, end, symbol) of all definitions, lines from 0, ends
+    exclusive; nothing for files that can't be read by structure."""
+    ship(files.sparkSession)
+    return files.select("path", language(F.col("path")).alias("lang"), "content").mapInArrow(_defined, "path string, start int, end int, symbol string")
+
+
+def structured(definition: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(path, start, end, symbol) of the blocks of files that have
+    definitions: the innermost ones, and unnamed ones for what lies before, between
+    and after them. ``sizes`` has path and n, the number of lines."""
+    order = Window.partitionBy("path").orderBy("start", "end")
+    before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    leaf = intervals.leaves(definition).withColumn("_from", before)
+    named = leaf.select("path", F.greatest("start", "_from").alias("start"), "end", "symbol")
+    between = leaf.select("path", F.col("_from").alias("start"), F.col("start").alias("end"), F.lit("").alias("symbol"))
+    after = leaf.groupBy("path").agg(F.max("end").alias("start")).join(sizes, "path").select("path", "start", F.col("n").alias("end"), F.lit("").alias("symbol"))
+    return named.unionByName(between).unionByName(after).where("start < end")
+
+
+def chunk_by_structure(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Chunks whose blocks are innermost definitions and what lies between
+    them; files without a definition that can be read are chunked by patterns."""
+    definition = defined(files)
+    rows = lines(files).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda r: r["line"]).alias("all"))
+    block = structured(definition, rows.select("path", F.size("all").alias("n"))).join(rows, "path")
+    block = block.select("path", F.col("start").alias("blk"), (F.col("start") + 1).alias("start_line"), F.col("end").alias("end_line"), "symbol", F.slice("all", F.col("start") + 1, F.col("end") - F.col("start")).alias("lines"))
+    block = block.where(~is_blank(F.array_join("lines", "\n"))).withColumn("size", _size(F.col("lines")))
+    known = _emitted(merged(pieces(block, limits), limits), files)
+    return known.unionByName(chunk_files(files.join(definition.select("path").distinct(), "path", "left_anti"), limits))
+
+
+def compared(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """For each file the chunks and named chunks of both chunkers."""
+    sums = lambda df, name: df.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias(f"{name}_chunks"), F.count_if(F.col("symbol_name") != "").alias(f"{name}_named"))
+    return sums(chunk_files(files, limits), "pattern").join(sums(chunk_by_structure(files, limits), "structure"), "path", "full_outer").na.fill(0)
+
+
 def chunk_string(spark, source: str, path: str, limits: Limits = Limits()) -> DataFrame:
     """The chunks of one text in memory."""
     return chunk_files(spark.createDataFrame([(path, source)], "path string, content string"), limits)

@@ -451,6 +451,37 @@ def t3(spark, sf):
     return tools.get_context(c, tools.embedded(c), "src/order_7.py", 10, 20).select("relation", "project", "file_path", "chunk_id", "score")
 
 
+# line items as functions with bodies of 0 to 4 lines, a remark before and a blank line after each
+_SCRIPTS = "items AS (SELECT 'src/order_' || l_orderkey || '.js' AS path, l_linenumber AS i, l_suppkey % 5 AS k FROM lineitem), defs AS (SELECT path, i, (1 + sum(k + 3) OVER w - k - 3)::INT AS start, (sum(k + 3) OVER w)::INT AS stop FROM items WINDOW w AS (PARTITION BY path ORDER BY i, k DESC ROWS UNBOUNDED PRECEDING))"
+
+
+def _scripts(spark, sf):
+    x = table(spark, sf, "lineitem")
+    body = F.concat(F.format_string("function item_%d(q) {\n", "l_linenumber"), F.repeat(F.lit("  q += '}'; // {\n"), (F.col("l_suppkey") % 5).cast("int")), F.lit("}\n\n"))
+    files = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", body.alias("body")))).alias("b"))
+    text = F.concat(F.lit("/* order { */\n"), F.array_join(F.transform("b", lambda r: r["body"]), ""))
+    return files.select(F.format_string("src/order_%d.js", "l_orderkey").alias("path"), text.alias("content"))
+
+
+@query("c9_c10_definitions", f"WITH {_SCRIPTS} SELECT path, start, stop, 'item_' || i AS symbol FROM defs")
+def c9(spark, sf):
+    return chunking.defined(_scripts(spark, sf)).select("path", "start", F.col("end").alias("stop"), "symbol")
+
+
+@query("c13_structured_blocks", f"WITH {_SCRIPTS} SELECT path, start, stop, 'item_' || i AS symbol FROM defs UNION ALL SELECT path, stop AS start, (stop + 1)::INT AS stop, '' AS symbol FROM defs UNION ALL SELECT DISTINCT path, 0, 1, '' FROM defs")
+def c13_blocks(spark, sf):
+    files = _scripts(spark, sf)
+    sizes = files.select("path", (F.size(F.split("content", "\n")) - 1).alias("n"))
+    return chunking.structured(chunking.defined(files), sizes).select("path", "start", F.col("end").alias("stop"), "symbol")
+
+
+@query("j13_two_chunkers", f"WITH {_SCRIPTS} SELECT count(DISTINCT path) AS files, count(*) AS definitions FROM defs")
+def j13(spark, sf):
+    """With chunks of any size, both chunkers name every function of these files."""
+    both = chunking.compared(_scripts(spark, sf), chunking.Limits(min_tokens=0))
+    return both.agg(F.count("*").alias("files"), F.sum(F.when(F.col("pattern_named") == F.col("structure_named"), F.col("structure_named"))).alias("definitions"))
+
+
 # ---- snapshots, sessions, events ---------------------------------------------
 
 
