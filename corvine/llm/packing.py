@@ -152,7 +152,7 @@ class WordEncoder:
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, an end id after each, as unsigned 16-bit numbers,
         and where each text begins."""
-        parts = [self.encode_part(data, offs) for _, _, data, offs in each_part(texts, 4 << 20)]
+        parts = [self.encode_part(data, offs) for _, _, data, offs in each_part(texts, 2 << 20)]
         flat = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, "<u2")
         return flat, np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in parts])))) if parts else np.zeros(1, np.int64)
 

