@@ -1,21 +1,25 @@
 """Mixture-controlled packing by deficit round-robin.
 
 Documents of a source form a queue. A window of 2048 tokens credits every queue
-its share of the window (its share of all tokens, so that all queues end
-together); queues are visited in turn and give what their deficit allows; less
-than ``min_piece`` tokens wait, as a deficit carried on, and what is left of the
-window goes to the largest deficits.
-
-Packing runs in partitions. Partition b of n holds the stretch
-[floor(total * b / n), floor(total * (b + 1) / n)) of every queue, so the state
-at its start is known in closed form: tokens packed before, the position in the
-open window, and every queue's deficit (share * packed - given). Windows and
+its share of the window; queues are visited in turn and give what their deficit
+allows; less than ``min_piece`` tokens wait, as a deficit carried on, and what is
+left of the window goes to the largest deficits. Without ``weights`` a queue's
+share is its share of all tokens, so that all queues end together. With weights a
+window has the queues' weights as proportions; when a queue is used up, those that
+remain share the windows by their weights. The packing so falls into stretches,
+one at most for each queue, in which every queue gives tokens at one rate.
+
+Packing runs in partitions. Partition b of the n of a stretch holds
+[floor(total * b / n), floor(total * (b + 1) / n)) of what every queue gives in it,
+so the state at its start is known in closed form: tokens packed before, the position
+in the open window, and every queue's deficit (share * packed - given). Windows and
 deficits run on across partitions, and only the very last window is short: it is
 cut into sequences of a power of two tokens each, which need no padding.
 
 Queues are sources; beyond ``max_queues`` sources (4096, counted exactly) they
 share as many queues by hash, which bounds what a task holds and what the driver
-gets. Token tables are written
+gets. With weights (for up to 255 sources) all sources that aren't named form one
+queue with the weight ``rest``. Token tables are written
 once; their rows are dealt to partitions in slices, so a source or document of
 any size is spread.
 
@@ -29,7 +33,10 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,6 +51,7 @@ from corvine.llm.words import each_part, numbered, tables
 WINDOW = 2048
 END_ID = 1
 MAX_QUEUES = 4096
+MAX_WEIGHTS = 255
 PARTITION_TOKENS = 1_000_000
 
 
@@ -177,21 +185,49 @@ def tail_sizes(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def round_robin(queues: dict[str, list[list]], totals: dict[str, int], b: int, parts: int, min_piece: int) -> Iterator[tuple]:
-    """Pieces (item, from, length, sequence, offset) of one partition.
+class Stretch(NamedTuple):
+    """What every queue gives while the queues' rates stay as they are."""
+
+    first: int  # its first partition
+    parts: int
+    before: int  # tokens packed before it
+    low: dict[str, int]
+    high: dict[str, int]
+
+
+def stretches(totals: dict[str, int], weights: dict[str, float] | None, partition_tokens: int) -> list[Stretch]:
+    """The stretches of queues with ``totals`` tokens, which give by weight (None:
+    by their totals) until they are used up."""
+    rate = {q: Fraction(totals[q] if weights is None else weights[q]) for q in totals}
+    low, found, first, before = dict.fromkeys(totals, 0), [], 0, 0
+    while active := [q for q in totals if low[q] < totals[q]]:
+        time = min((totals[q] - low[q]) / rate[q] for q in active)
+        high = {q: low[q] + int(rate[q] * time) for q in active}
+        n = sum(high[q] - low[q] for q in active)
+        parts = max(1, -(-n // partition_tokens))
+        found.append(Stretch(first, parts, before, {q: low[q] for q in active}, high))
+        first, before, low = first + parts, before + n, low | high
+    return found
+
+
+def round_robin(queues: dict[str, list[list]], totals: dict[str, int], b: int, parts: int, min_piece: int, before: int = 0, everything: int | None = None) -> Iterator[tuple]:
+    """Pieces (item, from, length, sequence, offset) of one partition of a stretch.
 
     ``queues``: for each queue its items as lists whose first element is the
-    number of tokens, in order. ``totals``: all tokens of every queue.
+    number of tokens, in order. ``totals``: what every queue gives in the stretch;
+    ``before`` tokens are packed before it, ``everything`` in all.
     """
     names = sorted(totals)
     total = np.array([totals[q] for q in names], object)
-    everything = int(sum(total))
-    share = (total / everything).astype(float)
+    in_stretch = int(sum(total))
+    everything = in_stretch if everything is None else everything
+    share = (total / in_stretch).astype(float)
     given = total * b // parts
-    packed = int(given.sum())
+    done = int(given.sum())
     left = (total * (b + 1) // parts - given).astype(np.int64)
+    packed = before + done
     stop = packed + int(left.sum())
-    deficit = np.array([float(packed * t / everything - g) for t, g in zip(total, given, strict=True)])
+    deficit = np.array([float(done * t / in_stretch - g) for t, g in zip(total, given, strict=True)])
     whole = everything // WINDOW
     tails = tail_sizes(everything % WINDOW)
     at = [[0, 0] for _ in names]  # item and token reached
@@ -242,13 +278,16 @@ def round_robin(queues: dict[str, list[list]], totals: dict[str, int], b: int, p
             left[s] -= take
 
 
-def _pack(totals: dict[str, int], parts: int, min_piece: int):
+def _pack(plan: list[Stretch], everything: int, min_piece: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["queue", "pos"], kind="stable")
+        b = int(pdf["b"].iloc[0])
+        at = plan[bisect_right(plan, b, key=lambda s: s.first) - 1]
+        totals = {q: at.high[q] - at.low[q] for q in at.low}
         queues: dict[str, list[list]] = {}
         for q, doc, start, n, tokens in zip(pdf["queue"], pdf["doc_id"], pdf["start"], pdf["n"], pdf["tokens"], strict=True):
             queues.setdefault(q, []).append([len(tokens) // 2, doc, start, n, tokens])
-        rows = [(item[1], item[2] + a, n, np.frombuffer(item[4], "<u2")[a : a + n].astype("<u4").tobytes(), item[3], seq, off) for item, a, n, seq, off in round_robin(queues, totals, int(pdf["b"].iloc[0]), parts, min_piece)]
+        rows = [(item[1], item[2] + a, n, np.frombuffer(item[4], "<u2")[a : a + n].astype("<u4").tobytes(), item[3], seq, off) for item, a, n, seq, off in round_robin(queues, totals, b - at.first, at.parts, min_piece, at.before, everything)]
         out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
@@ -256,29 +295,41 @@ def _pack(totals: dict[str, int], parts: int, min_piece: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, partition_tokens: int = PARTITION_TOKENS, min_piece: int = 128, max_queues: int = MAX_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, partition_tokens: int = PARTITION_TOKENS, min_piece: int = 128, max_queues: int = MAX_QUEUES, weights: dict[str | None, float] | None = None, rest: float = 1.0) -> DataFrame:
     """Pieces of ``docs`` (doc_id, source, text): doc_id, start, length, ids
     (little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset.
-    ``tokenizer`` is a path that every executor can read."""
+    ``tokenizer`` is a path that every executor can read. ``weights``: the
+    proportions of sources in windows, ``rest`` for all sources it doesn't name."""
     spark = docs.sparkSession
     tune(spark)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("queue"), "text")
-    if named.select("queue").distinct().limit(max_queues + 1).count() > max_queues:
+    if weights is not None:
+        if len(weights) > MAX_WEIGHTS or min([rest, *weights.values()]) <= 0:
+            raise ValueError(f"weights are over 0 and for up to {MAX_WEIGHTS} sources")
+        weights = {"~" if q is None else f"s{q}": w for q, w in weights.items()} | {"*": rest}
+        named = named.withColumn("queue", F.when(F.col("queue").isin(list(weights)), F.col("queue")).otherwise("*"))
+    elif named.select("queue").distinct().limit(max_queues + 1).count() > max_queues:
         named = named.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
     tokens = written(named.mapInArrow(_tokens(tokenizer), "doc_id long, queue string, tokens binary, n long, part int, inside long"), "tokens")
     sums = written(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues rows at most
-    parts = max(1, -(-sum(totals.values()) // partition_tokens))
+    plan = stretches(totals, weights, partition_tokens)
+    # a row a queue; one run each without weights, and 256 * 256 / 2 runs at most with them
+    runs = [(q, [(s.low[q], s.high[q], s.first, s.parts) for s in plan if q in s.low and s.low[q] < s.high[q]]) for q in totals]
+    runs = spark.createDataFrame(runs, "queue string, runs array<struct<low: long, high: long, first: long, parts: long>>")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy("queue"))
-    sums = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), total.alias("total"))
+    sums = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     sums = F.broadcast(sums) if sums.count() <= 200_000 else sums
-    placed = tokens.join(sums, ["part", "queue"]).withColumn("pos", F.col("before") + F.col("inside"))
+    placed = tokens.join(sums, ["part", "queue"]).join(F.broadcast(runs), "queue").withColumn("pos", F.col("before") + F.col("inside"))
+    met = F.explode(F.filter("runs", lambda r: (r["low"] < F.col("pos") + F.col("n")) & (r["high"] > F.col("pos")))).alias("r")
+    met = placed.select("doc_id", "queue", "n", "tokens", "pos", met).select("doc_id", "queue", "n", "tokens", "pos", "r.*")
     wide = lambda x: f"cast({x} as decimal(38,0))"  # noqa: E731  products outgrow 64 bits on large corpora
-    cut = placed.withColumn("b", F.explode(F.expr(f"sequence(({wide('pos + 1')} * {parts} - 1) div total, ({wide('pos + n')} * {parts} - 1) div total)")))
-    cut = cut.withColumn("low", F.greatest("pos", F.expr(f"{wide('total')} * b div {parts}"))).withColumn("high", F.least(F.col("pos") + F.col("n"), F.expr(f"{wide('total')} * (b + 1) div {parts}")))
-    cut = cut.select("b", "doc_id", "queue", "n", (F.col("low") - F.col("pos")).alias("start"), F.col("low").alias("pos"), F.expr("substring(tokens, cast(1 + 2 * (low - pos) as int), cast(2 * (high - low) as int))").alias("tokens"))
-    return cut.groupBy("b").applyInPandas(_pack(totals, parts, min_piece), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    met = met.withColumns({"from": F.greatest("pos", "low") - F.col("low"), "to": F.least(F.col("pos") + F.col("n"), "high") - F.col("low"), "total": F.col("high") - F.col("low")})
+    cut = met.withColumn("k", F.explode(F.expr(f"sequence(({wide('from + 1')} * parts - 1) div total, ({wide('to')} * parts - 1) div total)")))
+    edge = lambda k: f"({wide('total')} * ({k}) div parts)"
+    cut = cut.withColumn("begin", F.expr(f"low + greatest(from, {edge('k')})")).withColumn("end", F.expr(f"low + least(to, {edge('k + 1')})"))
+    cut = cut.select((F.col("first") + F.col("k")).alias("b"), "doc_id", "queue", "n", (F.col("begin") - F.col("pos")).alias("start"), F.col("begin").alias("pos"), F.expr("substring(tokens, cast(1 + 2 * (begin - pos) as int), cast(2 * (end - begin) as int))").alias("tokens"))
+    return cut.groupBy("b").applyInPandas(_pack(plan, sum(totals.values()), min_piece), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def packed_digest(pieces: DataFrame) -> DataFrame:

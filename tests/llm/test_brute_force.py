@@ -193,6 +193,43 @@ def test_windows_hold_target_proportions():
             assert abs(seen[seq][q] - 2048 * n / 320_000) <= 2 * 128 + 2
 
 
+@pytest.mark.parametrize("partition", [3_000, 1_000_000])
+def test_windows_hold_given_weights(spark, partition):
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["a", "b", "b", "b", "c", "d", None]), " ".join(["word"] * rng.randint(0, 900))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"a": 3.0, "b": 1.0, None: 0.5}
+    source = {k: q if q in weights else "*" for k, q, _ in rows}
+    total = defaultdict(int)
+    for k, _, text in rows:
+        total[source[k]] += len(text.split()) + 1
+    got = packing.pack(df, packing.default_tokenizer(), partition_tokens=partition, weights=weights, rest=0.5).collect()
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append((r.start, r.length))
+    for k, _, text in rows:
+        at = 0
+        for start, n in sorted(by_doc[k]):
+            assert start == at
+            at += n
+        assert at == len(text.split()) + 1
+    share, given, left = {**weights, "*": 0.5}, defaultdict(int), dict(total)
+    windows = defaultdict(lambda: defaultdict(int))
+    for r in got:
+        windows[r.sequence_id][source[r.doc_id]] += r.length
+    checked = 0
+    for seq in sorted(windows):
+        assert sum(windows[seq].values()) == 2048 or seq >= sum(total.values()) // 2048
+        open_ = [q for q in total if left[q] > 2048]
+        if len(open_) == sum(left[q] > 0 for q in total) and sum(windows[seq].values()) == 2048:
+            checked += 1
+            for q in open_:
+                assert abs(windows[seq][q] - 2048 * share[q] / sum(share[x] for x in open_)) <= 2 * 128 + 8
+        for q, n in windows[seq].items():
+            left[q] -= n
+    assert checked >= 0.5 * len(windows) and not any(left.values())
+
+
 def test_rules_equal_counting(spark):
     rng = random.Random(6)
     texts = [None, "", " \n "] + ["".join(rng.choice(["a ", "b ", "cc ", "é\n", "# ", "a b a b a b a b a b ", "\n\n", "\t"]) for _ in range(rng.randint(1, 60))) for _ in range(80)]
