@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,14 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def give_back() -> None:
+    """Hand memory that a Python worker has freed back to the system, so that idle
+    workers and later stages don't keep the largest batch's pages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns of a table that may have any others as well."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.common import only, source_key, tune, written
+from corvine.llm.common import give_back, only, source_key, tune, written
 from corvine.llm.words import each_part, numbered, tables
 
 WINDOW = 2048
@@ -152,10 +152,15 @@ class WordEncoder:
         pool = np.frombuffer(b"".join(found), "<u2")
         begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 2)))
         first = np.searchsorted(cut, offs)
+        del items, distinct, mark, kind, high, apart, glued, cut
         at = np.insert(at, first[1:], len(found) - 1)
         n = np.diff(begin)[at]
         after = np.concatenate(([0], np.cumsum(n)))
-        return pool[np.arange(after[-1]) + np.repeat(begin[at] - after[:-1], n)], np.diff(after[first + np.arange(len(first))])
+        # a part has far fewer than 2**31 ids unless one text alone is larger
+        kind = np.int32 if after[-1] < 1 << 31 and begin[-1] < 1 << 31 else np.int64
+        where = np.repeat((begin[at] - after[:-1]).astype(kind), n)
+        where += np.arange(after[-1], dtype=kind)
+        return pool[where], np.diff(after[first + np.arange(len(first))])
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, an end id after each, as unsigned 16-bit numbers,
@@ -176,6 +181,8 @@ def _tokens(path: str):
                 given[q] = inside[-1] + size
             tokens = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(2 * at.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), tokens, pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(inside, pa.int64())], ["doc_id", "queue", "tokens", "n", "part", "inside"])
+            del flat, at, n, tokens, b
+            give_back()
 
     return run
 
