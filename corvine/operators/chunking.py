@@ -1,8 +1,8 @@
 """Chunking as one chain of DataFrames over (path, content) files.
 
-Every stage is partitioned by path: the lines of a file meet once, and the
-windows and groupings after that reuse the partitioning, so a chunk table costs
-one shuffle however many stages it runs through. Sizes are bytes.
+A file's lines stay in its row until its blocks are cut out, by array expressions;
+blocks are shuffled once, by path, and the windows and groupings after that reuse
+the partitioning. A file is read whole by one task. Sizes are bytes.
 """
 
 from __future__ import annotations
@@ -38,42 +38,62 @@ class Limits:
         return self.max_tokens * self.chars_per_token
 
 
-def _by_path() -> Window:
-    return Window.partitionBy("path").orderBy("ln")
+def _lines(content: Column) -> Column:
+    """A line end closes a line, and one carriage return before it goes."""
+    parts = F.split(content, "\n", -1)
+    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.transform(parts, lambda x: F.when(F.endswith(x, F.lit("\r")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(path, lang, ln, line), numbered from 1; a line end closes a line, and
-    one carriage return before it goes. Empty files have no lines. The language
-    is found once a file, not once a line."""
-    parts = F.split("content", "\n", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """(path, lang, ln, line), numbered from 1. Empty files have no lines. The
+    language is found once a file, not once a line."""
     some = files.where(F.octet_length("content") > 0)
-    line = F.when(F.endswith("line", F.lit("\r")), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
-    return some.select("path", language(F.col("path")).alias("lang"), F.posexplode(parts).alias("ln", "line")).select("path", "lang", (F.col("ln") + 1).alias("ln"), line.alias("line"))
+    line = F.posexplode(_lines(F.col("content"))).alias("ln", "line")
+    return some.select("path", language(F.col("path")).alias("lang"), line).select("path", "lang", (F.col("ln") + 1).alias("ln"), "line")
 
 
-def boundaries(rows: DataFrame) -> DataFrame:
-    """Lines with ``symbol``: null inside a block, '' for a block without
-    a name. Languages without patterns start blocks after blank lines."""
-    lang = F.col("lang")
-    after_blank = F.coalesce(F.lag(is_blank(F.col("line"))).over(_by_path()), F.lit(True)) & ~is_blank(F.col("line"))
-    symbol = F.when(lang.isin(list(PATTERNS)), symbol_of(F.col("line"), lang)).otherwise(F.when(after_blank, F.lit("")))
-    return rows.withColumn("symbol", symbol)
+def _started(files: DataFrame) -> DataFrame:
+    """Files with their ``all`` lines and ``starts``, the lines that start
+    blocks (``at``, from 0, and the ``symbol``, '' for a block without a name).
+    Languages without patterns start blocks after blank lines. A file's lines stay
+    in its row."""
+    some = files.where(F.octet_length("content") > 0)
+    rows = some.select("path", language(F.col("path")).alias("lang"), F.sha2("content", 256).substr(1, 16).alias("file_hash"), _lines(F.col("content")).alias("all"))
+    by_pattern = F.transform("all", lambda x, i: F.struct(i.alias("at"), symbol_of(x, F.col("lang")).alias("symbol")))
+    opens = lambda x, i: F.coalesce(is_blank(F.get("all", i - 1)), F.lit(True)) & ~is_blank(x)
+    by_blank = F.transform("all", lambda x, i: F.struct(i.alias("at"), F.when(opens(x, i), "").alias("symbol")))
+    marks = F.when(F.col("lang").isin(list(PATTERNS)), by_pattern).otherwise(by_blank)
+    return rows.withColumn("starts", F.filter(marks, lambda m: m["symbol"].isNotNull()))
 
 
-def blocks(marked: DataFrame) -> DataFrame:
-    """C4: (path, blk, start_line, end_line, symbol, lines, size)."""
-    numbered = marked.withColumn("blk", F.sum(F.col("symbol").isNotNull().cast("int")).over(_by_path()))
-    block = numbered.groupBy("path", "blk").agg(F.min("ln").alias("start_line"), F.max("ln").alias("end_line"), F.coalesce(F.max("symbol"), F.lit("")).alias("symbol"), F.sum(F.octet_length("line") + 1).cast("int").alias("size"), F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("rows"))
-    own = F.transform("rows", lambda r: r["line"])
-    return block.select("path", "blk", "start_line", "end_line", "symbol", own.alias("lines"), "size")
+def boundaries(files: DataFrame) -> DataFrame:
+    """(path, ln, symbol) of the lines that start blocks."""
+    return _started(files).select("path", F.explode_outer("starts").alias("s")).where("s is not null").select("path", (F.col("s.at") + 1).alias("ln"), "s.symbol")
 
 
 def _size(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0), lambda s, x: s + F.octet_length(x) + 1)
 
 
+def blocks(files: DataFrame) -> DataFrame:
+    """C4: (path, blk, start_line, end_line, symbol, lines, size, file_hash); lines
+    before the first start are block 0."""
+    rows, at = _started(files), F.get("starts", F.lit(0))["at"]
+    first = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("symbol")))
+    headless = F.coalesce(at != 0, F.lit(True))
+    rows = rows.select("path", "file_hash", "all", F.when(headless, 0).otherwise(1).alias("base"), F.when(headless, F.concat(first, "starts")).otherwise(F.col("starts")).alias("starts"))
+
+    def block(s: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("starts", k + 1)["at"], F.size("all"))
+        return F.struct((k + F.col("base")).cast("long").alias("blk"), (s["at"] + 1).alias("start_line"), stop.alias("end_line"), s["symbol"].alias("symbol"), F.slice("all", s["at"] + 1, stop - s["at"]).alias("lines"))
+
+    # blocks are cut out before they are exploded, so that no row has the whole file; no
+    # array is empty, and an outer explode adds no filter that would compute it twice
+    sized = F.transform(F.transform("starts", block), lambda b: b.withField("size", _size(b["lines"])))
+    return rows.select("path", "file_hash", F.explode_outer(sized).alias("b")).select("path", "b.*", "file_hash")
+
+
 def _cuts(xs: Column, most: int) -> Column:
     """Ends of the pieces of an oversize block: before a blank line that would
     pass the limit, and after a line that passes twice the limit."""
@@ -92,15 +112,15 @@ def _cuts(xs: Column, most: int) -> Column:
 
 def pieces(block: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Blocks with oversize ones split; the symbol stays on the first piece.
-    (path, blk, piece, start_line, end_line, symbol, lines, size)"""
+    (path, blk, piece, start_line, end_line, symbol, lines, size, file_hash)"""
     ends = F.when(F.col("size") > limits.most, _cuts(F.col("lines"), limits.most)).otherwise(F.array(F.size("lines")))
-    cut = block.withColumn("ends", ends).select("*", F.posexplode("ends").alias("piece", "stop"))
+    cut = block.withColumn("ends", ends).select("*", F.posexplode_outer("ends").alias("piece", "stop"))
     first = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.get("ends", F.col("piece") - 1))
     cut = cut.withColumn("first", first)
     whole = F.size("ends") == 1
     own = F.when(whole, F.col("lines")).otherwise(F.slice("lines", F.col("first") + 1, F.col("stop") - F.col("first")))
     cut = cut.withColumn("own", own)
-    return cut.select("path", "blk", "piece", (F.col("start_line") + F.col("first")).alias("start_line"), (F.col("start_line") + F.col("stop") - 1).alias("end_line"), F.when(F.col("piece") == 0, F.col("symbol")).otherwise("").alias("symbol"), F.col("own").alias("lines"), F.when(whole, F.col("size")).otherwise(_size(F.col("own"))).alias("size"))
+    return cut.select("path", "blk", "piece", (F.col("start_line") + F.col("first")).alias("start_line"), (F.col("start_line") + F.col("stop") - 1).alias("end_line"), F.when(F.col("piece") == 0, F.col("symbol")).otherwise("").alias("symbol"), F.col("own").alias("lines"), F.when(whole, F.col("size")).otherwise(_size(F.col("own"))).alias("size"), "file_hash")
 
 
 def merged(piece: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -108,7 +128,7 @@ def merged(piece: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Gaps and islands: a run starts at the first piece and at every piece that is
     not tiny; inside a run a named piece starts a group of its own when a named
-    one came before. (path, grp, start_line, end_line, symbol, text, size)"""
+    one came before. (path, grp, start_line, end_line, symbol, text, size, file_hash)"""
     order = Window.partitionBy("path").orderBy("start_line")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = F.col("symbol") != ""
@@ -118,22 +138,20 @@ def merged(piece: DataFrame, limits: Limits = Limits()) -> DataFrame:
     before = F.coalesce(F.sum(named.cast("int")).over(in_run), F.lit(0))
     rows = rows.withColumn("starts", F.col("run_start") | (named & (before >= 1)))
     rows = rows.withColumn("grp", F.sum(F.col("starts").cast("int")).over(running))
-    group = rows.groupBy("path", "grp").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min(F.when(named, F.struct("start_line", "symbol")))["symbol"].alias("symbol"), F.sum("size").cast("long").alias("size"), F.array_sort(F.collect_list(F.struct("start_line", "lines"))).alias("rows"))
+    group = rows.groupBy("path", "grp").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min(F.when(named, F.struct("start_line", "symbol")))["symbol"].alias("symbol"), F.sum("size").cast("long").alias("size"), F.array_sort(F.collect_list(F.struct("start_line", "lines"))).alias("rows"), F.first("file_hash").alias("file_hash"))
     text = F.concat(F.array_join(F.flatten(F.transform("rows", lambda r: r["lines"])), "\n"), F.lit("\n"))
-    return group.select("path", "grp", "start_line", "end_line", F.coalesce("symbol", F.lit("")).alias("symbol"), text.alias("text"), "size")
+    return group.select("path", "grp", "start_line", "end_line", F.coalesce("symbol", F.lit("")).alias("symbol"), text.alias("text"), "size", "file_hash")
 
 
-def _emitted(group: DataFrame, files: DataFrame) -> DataFrame:
+def _emitted(group: DataFrame) -> DataFrame:
     """Chunk rows of merged groups, blank ones dropped."""
     group = group.where(~is_blank(F.col("text")))
-    hashes = files.select("path", F.sha2("content", 256).substr(1, 16).alias("file_content_hash"))
-    chunk = group.select(F.col("text").alias("source_text"), F.col("path").alias("file_path"), "start_line", "end_line", language(F.col("path")).alias("language"), F.col("symbol").alias("symbol_name"), chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("chunk_id"))
-    return chunk.join(hashes.withColumnRenamed("path", "file_path"), "file_path").select("source_text", "file_path", "start_line", "end_line", "language", "symbol_name", "chunk_id", "file_content_hash")
+    return group.select(F.col("text").alias("source_text"), F.col("path").alias("file_path"), "start_line", "end_line", language(F.col("path")).alias("language"), F.col("symbol").alias("symbol_name"), chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("chunk_id"), F.col("file_hash").alias("file_content_hash"))
 
 
 def chunk_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The chunks of (path, content) files, by patterns of lines."""
-    return _emitted(merged(pieces(blocks(boundaries(lines(files))), limits), limits), files)
+    return _emitted(merged(pieces(blocks(files), limits), limits))
 
 
 def _defined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +186,11 @@ def chunk_by_structure(files: DataFrame, limits: Limits = Limits()) -> DataFrame
     """Chunks whose blocks are innermost definitions and what lies between
     them; files without a definition that can be read are chunked by patterns."""
     definition = defined(files)
-    rows = lines(files).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda r: r["line"]).alias("all"))
+    rows = files.where(F.octet_length("content") > 0).select("path", _lines(F.col("content")).alias("all"), F.sha2("content", 256).substr(1, 16).alias("file_hash"))
     block = structured(definition, rows.select("path", F.size("all").alias("n"))).join(rows, "path")
-    block = block.select("path", F.col("start").alias("blk"), (F.col("start") + 1).alias("start_line"), F.col("end").alias("end_line"), "symbol", F.slice("all", F.col("start") + 1, F.col("end") - F.col("start")).alias("lines"))
+    block = block.select("path", F.col("start").alias("blk"), (F.col("start") + 1).alias("start_line"), F.col("end").alias("end_line"), "symbol", F.slice("all", F.col("start") + 1, F.col("end") - F.col("start")).alias("lines"), "file_hash")
     block = block.where(~is_blank(F.array_join("lines", "\n"))).withColumn("size", _size(F.col("lines")))
-    known = _emitted(merged(pieces(block, limits), limits), files)
+    known = _emitted(merged(pieces(block, limits), limits))
     return known.unionByName(chunk_files(files.join(definition.select("path").distinct(), "path", "left_anti"), limits))
 
 

@@ -306,43 +306,39 @@ def c1(spark, sf):
 
 @query("c3_blank_boundaries", _stage("xyz", "marked") + " SELECT path, ln::INT AS ln FROM marked WHERE symbol IS NOT NULL")
 def c3(spark, sf):
-    return chunking.boundaries(chunking.lines(_files(spark, sf, "xyz"))).where("symbol is not null").select("path", "ln")
+    return chunking.boundaries(_files(spark, sf, "xyz")).select("path", "ln")
 
 
 def _c2(ext: str):
     @query(f"c2_regex_boundaries_{ext}", _stage(ext, "marked") + " SELECT path, ln::INT AS ln, symbol FROM marked WHERE symbol IS NOT NULL")
     def run(spark, sf):
-        return chunking.boundaries(chunking.lines(_files(spark, sf, ext))).where("symbol is not null").select("path", "ln", "symbol")
+        return chunking.boundaries(_files(spark, sf, ext))
 
 
 for _ext in ("py", "js", "rs", "go", "rb", "java", "cs", "cpp"):
     _c2(_ext)
 
 
-def _marked(spark, sf, ext):
-    return chunking.boundaries(chunking.lines(_files(spark, sf, ext)))
-
-
 @query("c4_blocks", _stage("py", "blocks") + " SELECT path, blk::INT AS blk, s::INT AS start_line, e::INT AS end_line, symbol, size::INT AS size FROM blocks")
 def c4(spark, sf):
-    return chunking.blocks(_marked(spark, sf, "py")).select("path", F.col("blk").cast("int").alias("blk"), "start_line", "end_line", "symbol", F.col("size").cast("int").alias("size"))
+    return chunking.blocks(_files(spark, sf, "py")).select("path", F.col("blk").cast("int").alias("blk"), "start_line", "end_line", "symbol", F.col("size").cast("int").alias("size"))
 
 
 @query("c5_split", _stage("xyz", "pieces") + " SELECT path, blk::INT AS blk, piece::INT AS piece, s::INT AS start_line, e::INT AS end_line, size::INT AS size FROM pieces")
 def c5(spark, sf):
-    p = chunking.pieces(chunking.blocks(_marked(spark, sf, "xyz")))
+    p = chunking.pieces(chunking.blocks(_files(spark, sf, "xyz")))
     return p.select("path", F.col("blk").cast("int").alias("blk"), "piece", "start_line", "end_line", F.col("size").cast("int").alias("size"))
 
 
 @query("c5_split_documents", _stage(None, "pieces") + " SELECT path, blk::INT AS blk, piece::INT AS piece, s::INT AS start_line, e::INT AS end_line, size::INT AS size FROM pieces")
 def c5d(spark, sf):
-    p = chunking.pieces(chunking.blocks(_marked(spark, sf, None)))
+    p = chunking.pieces(chunking.blocks(_files(spark, sf, None)))
     return p.select("path", F.col("blk").cast("int").alias("blk"), "piece", "start_line", "end_line", F.col("size").cast("int").alias("size"))
 
 
 @query("c6_merge", _stage("py", "merged") + " SELECT path, grp::INT AS grp, start_line::INT AS start_line, end_line::INT AS end_line, symbol, size FROM merged")
 def c6(spark, sf):
-    m = chunking.merged(chunking.pieces(chunking.blocks(_marked(spark, sf, "py"))))
+    m = chunking.merged(chunking.pieces(chunking.blocks(_files(spark, sf, "py"))))
     return m.select("path", F.col("grp").cast("int").alias("grp"), "start_line", "end_line", "symbol", "size")
 
 
