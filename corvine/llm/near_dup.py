@@ -11,13 +11,15 @@ words than a shingle: the whole sequence; no word: empty, linked to nothing).
    is one node, so thousands of exact copies cost one row each and no pair.
 3. 25 bands of 5 compressed registers propose pairs. A pair of similarity 0.85
    shares a band with probability 1 - 4e-7. Buckets of up to 24 classes give
-   all pairs. Larger ones give pairs with two common members (the one that is in
-   most large buckets, and one by hash).
+   all pairs. Larger ones give pairs with two common members (the one that meets
+   most others in its large buckets, and one by hash).
    Once components are known, what stands outside the largest component of a
    larger bucket is joined exactly with all members of such buckets: by a prefix
-   filter in rarest-first order with positions and size classes. In a family of
-   near copies that are no links, the rarest shingles are each text's own edits,
-   so its members share no prefix and give no pairs, however many they are.
+   filter in rarest-first order with positions and size classes. The rarest shingles
+   of a near copy are its own edits. Where those fill the positions up to which a link
+   is possible, members of a family share no prefix and give no pairs. Texts with fewer
+   edits are linked to the text that they are copies of; if that is not there and they
+   are no links of each other either, their pairs grow with the square of their number.
 4. A collision-corrected Jaccard estimate from the registers drops a pair only
    when it is five standard errors below the threshold.
 5. Links are confirmed on the full shingle sets (of numbered words, not of hashes),
@@ -318,10 +320,11 @@ def _hot(rows: DataFrame, key: str, most: int) -> DataFrame:
     return written(rows.groupBy(key).agg(F.count("*").alias("_k")).where(F.col("_k") * most > n).select(key), "hot")
 
 
-def dealt(big: DataFrame, small: DataFrame, key: str, most: int = 200) -> DataFrame:
+def dealt(big: DataFrame, small: DataFrame, key: str, most: int = 200, hot: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small`` (a row for each ``key``): rows of hot keys are
-    dealt to 16 tasks, to which the 200 hot rows at most of ``small`` are copied."""
-    hot = F.broadcast(_hot(big, key, most).withColumn("_hot", F.lit(HOT)))
+    dealt to 16 tasks, to which the 200 hot rows at most of ``small`` are copied.
+    ``hot``: the hot keys, if they are known (else ``big`` is computed to count them)."""
+    hot = F.broadcast((_hot(big, key, most) if hot is None else hot).withColumn("_hot", F.lit(HOT)))
     salt = F.pmod(F.hash(*[c for c in big.columns if c != key]), F.coalesce("_hot", F.lit(1)))
     x = big.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     y = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_hot", F.lit(1)) - 1))).drop("_hot")
@@ -348,17 +351,19 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     lists = lists.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
     pairs = pairs.union(_ordered(lists, F.col("x"), F.col("y")))
     large = crowded.where(f"k > {SMALL_BUCKET}")
-    # the member of most large buckets is the one that the others are copies of, as far as there is one
-    large = written(large.join(large.groupBy("cid").agg(F.count("*").alias("degree")), "cid"), "large")
-    central = F.max(F.struct("degree", F.xxhash64("cid"), "cid"))["cid"]
+    # the member that meets the most others over all its bands is the one that they are copies of, as far as there is one
+    large = written(large.join(large.groupBy("cid").agg(F.sum("k").alias("met")), "cid"), "large")
+    central = F.max(F.struct("met", F.xxhash64("cid"), "cid"))["cid"]
     others = [F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid"))["cid"] for k in range(HUBS)]
     hubs = large.groupBy("key").agg(F.array(central, *others).alias("hubs"))
     star = large.join(hubs, "key").select("cid", F.explode("hubs").alias("y"))
     pairs = pairs.union(_ordered(star, F.col("cid"), F.col("y")))
 
     def sided(pairs: DataFrame, table, most: int = 200) -> DataFrame:
-        """Pairs with what ``table(side)`` has of both their nodes."""
-        return dealt(dealt(pairs, table("a"), "a", most), table("b"), "b", most)
+        """Pairs (a written table) with what ``table(side)`` has of both their nodes.
+        The first join keeps each pair once, so the hot keys of both are those of ``pairs``."""
+        a, b = (_hot(pairs, s, most) for s in "ab")
+        return dealt(dealt(pairs, table("a"), "a", most, a), table("b"), "b", most, b)
 
     def confirmed(likely: DataFrame) -> DataFrame:
         """The links among distinct pairs."""
