@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+import corpus_pipeline
 from corvine.llm import near_dup
 
 
@@ -73,3 +74,16 @@ def test_pairs_are_joined_once(spark, monkeypatch):
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(family(60))], "doc_id long, text string")
     assert near_dup.near_duplicates(df, 3, 85).count() == 60
     assert {x for x in seen if x[0] in "ab"} == {("a", False), ("b", False)}
+
+
+def test_the_pipelines_stage_joins_pairs_once(spark, monkeypatch):
+    seen, real = [], near_dup._hot
+
+    def hot(rows, key, most):
+        seen.append((key, "Join" in rows._jdf.queryExecution().analyzed().toString()))
+        return real(rows, key, most)
+
+    monkeypatch.setattr(near_dup, "_hot", hot)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(family(60))], "doc_id long, text string")
+    assert 0 < corpus_pipeline.near_duplicates(spark, df, "").count() < 60
+    assert set(seen) == {("a", False), ("b", False)}
