@@ -1,24 +1,24 @@
-"""Chunking as one chain of DataFrames over (path, content) files.
+"""Chunking of (path, content) files.
 
-A file's lines stay in its row until its blocks are cut out, by array expressions;
-blocks are shuffled once, by path, and the windows and groupings after that reuse
-the partitioning. A file is read whole by one task. Sizes are bytes.
+A row is a file, whole, so nothing is shuffled: blocks, pieces, groups and chunks
+are found on the bytes of batches of files (``corvine.operators.cutting``). Sizes
+are bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.functions import syntax
-from corvine.functions.languages import PATTERNS, language, symbol_of
-from corvine.functions.text import chunk_id, is_blank
-from corvine.operators import intervals
-from corvine.session import ship
+from corvine.functions.languages import language
+from corvine.operators.cutting import Batch, Parts, chunks
+from corvine.session import ship, tune
 
 
 @dataclass(frozen=True)
@@ -53,151 +53,122 @@ def lines(files: DataFrame) -> DataFrame:
     return some.select("path", language(F.col("path")).alias("lang"), line).select("path", "lang", (F.col("ln") + 1).alias("ln"), "line")
 
 
-def _started(files: DataFrame) -> DataFrame:
-    """Files with their ``all`` lines and ``starts``, the lines that start
-    blocks (``at``, from 0, and the ``symbol``, '' for a block without a name).
-    Languages without patterns start blocks after blank lines. A file's lines stay
-    in its row."""
+KIND = "path string, blk long, piece int, start_line int, end_line int, symbol string, size long"
+
+
+def _by_batch(files: DataFrame, make: Callable[[Batch, pa.Array], pa.RecordBatch], kind: str) -> DataFrame:
+    """What ``make`` gives for batches of the files that are not empty."""
+    ship(files.sparkSession)
+    tune(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield make(Batch(b.column("content"), b.column("lang").to_pylist()), b.column("path"))
+
     some = files.where(F.octet_length("content") > 0)
-    rows = some.select("path", language(F.col("path")).alias("lang"), F.sha2("content", 256).substr(1, 16).alias("file_hash"), _lines(F.col("content")).alias("all"))
-    by_pattern = F.transform("all", lambda x, i: F.struct(i.alias("at"), symbol_of(x, F.col("lang")).alias("symbol")))
-    opens = lambda x, i: F.coalesce(is_blank(F.get("all", i - 1)), F.lit(True)) & ~is_blank(x)
-    by_blank = F.transform("all", lambda x, i: F.struct(i.alias("at"), F.when(opens(x, i), "").alias("symbol")))
-    marks = F.when(F.col("lang").isin(list(PATTERNS)), by_pattern).otherwise(by_blank)
-    return rows.withColumn("starts", F.filter(marks, lambda m: m["symbol"].isNotNull()))
+    return some.select("path", language(F.col("path")).alias("lang"), "content").mapInArrow(run, kind)
 
 
 def boundaries(files: DataFrame) -> DataFrame:
-    """(path, ln, symbol) of the lines that start blocks."""
-    return _started(files).select("path", F.explode_outer("starts").alias("s")).where("s is not null").select("path", (F.col("s.at") + 1).alias("ln"), "s.symbol")
+    """(path, ln, symbol) of the lines that start blocks. Languages without
+    patterns start blocks, without a symbol, after blank lines."""
+
+    def make(b: Batch, path: pa.Array) -> pa.RecordBatch:
+        at, symbol = b.heads()
+        file = np.searchsorted(b.first, at, "right") - 1
+        return pa.RecordBatch.from_arrays([path.take(pa.array(file)), pa.array((at - b.first[file] + 1).astype(np.int32)), b.names(symbol)], ["path", "ln", "symbol"])
 
+    return _by_batch(files, make, "path string, ln int, symbol string")
 
-def _size(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0), lambda s, x: s + F.octet_length(x) + 1)
+
+def _parts(b: Batch, p: Parts, path: pa.Array) -> pa.RecordBatch:
+    start, end = b.lines_of(p)
+    return pa.RecordBatch.from_arrays([path.take(pa.array(p.file)), pa.array(p.number), pa.array(p.piece.astype(np.int32)), start, end, b.names(p.symbol), pa.array(b.size(p))], ["path", "blk", "piece", "start_line", "end_line", "symbol", "size"])
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """C4: (path, blk, start_line, end_line, symbol, lines, size, file_hash); lines
-    before the first start are block 0."""
-    rows, at = _started(files), F.get("starts", F.lit(0))["at"]
-    first = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("symbol")))
-    headless = F.coalesce(at != 0, F.lit(True))
-    rows = rows.select("path", "file_hash", "all", F.when(headless, 0).otherwise(1).alias("base"), F.when(headless, F.concat(first, "starts")).otherwise(F.col("starts")).alias("starts"))
-
-    def block(s: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get("starts", k + 1)["at"], F.size("all"))
-        return F.struct((k + F.col("base")).cast("long").alias("blk"), (s["at"] + 1).alias("start_line"), stop.alias("end_line"), s["symbol"].alias("symbol"), F.slice("all", s["at"] + 1, stop - s["at"]).alias("lines"))
-
-    # blocks are cut out before they are exploded, so that no row has the whole file; no
-    # array is empty, and an outer explode adds no filter that would compute it twice
-    sized = F.transform(F.transform("starts", block), lambda b: b.withField("size", _size(b["lines"])))
-    return rows.select("path", "file_hash", F.explode_outer(sized).alias("b")).select("path", "b.*", "file_hash")
-
-
-def _cuts(xs: Column, most: int) -> Column:
-    """Ends of the pieces of an oversize block: before a blank line that would
-    pass the limit, and after a line that passes twice the limit."""
-    start = F.expr("named_struct('ends', cast(array() as array<int>), 'held', 0, 'i', 0)")
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.octet_length(x) + 1
-        early = (F.translate(x, " \t\r", "") == "") & (s["held"] + n > most) & (s["held"] > 0)
-        held = F.when(early, 0).otherwise(s["held"]) + n
-        ends = F.when(early, F.concat(s["ends"], F.array(s["i"]))).otherwise(s["ends"])
-        late = held > 2 * most
-        return F.struct(F.when(late, F.concat(ends, F.array(s["i"] + 1))).otherwise(ends).alias("ends"), F.when(late, 0).otherwise(held).alias("held"), (s["i"] + 1).alias("i"))
-
-    return F.aggregate(xs, start, step, lambda s: F.when(s["held"] > 0, F.concat(s["ends"], F.array(s["i"]))).otherwise(s["ends"]))
-
-
-def pieces(block: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Blocks with oversize ones split; the symbol stays on the first piece.
-    (path, blk, piece, start_line, end_line, symbol, lines, size, file_hash)"""
-    ends = F.when(F.col("size") > limits.most, _cuts(F.col("lines"), limits.most)).otherwise(F.array(F.size("lines")))
-    cut = block.withColumn("ends", ends).select("*", F.posexplode_outer("ends").alias("piece", "stop"))
-    first = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.get("ends", F.col("piece") - 1))
-    cut = cut.withColumn("first", first)
-    whole = F.size("ends") == 1
-    own = F.when(whole, F.col("lines")).otherwise(F.slice("lines", F.col("first") + 1, F.col("stop") - F.col("first")))
-    cut = cut.withColumn("own", own)
-    return cut.select("path", "blk", "piece", (F.col("start_line") + F.col("first")).alias("start_line"), (F.col("start_line") + F.col("stop") - 1).alias("end_line"), F.when(F.col("piece") == 0, F.col("symbol")).otherwise("").alias("symbol"), F.col("own").alias("lines"), F.when(whole, F.col("size")).otherwise(_size(F.col("own"))).alias("size"), "file_hash")
-
-
-def merged(piece: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Tiny pieces joined to what is before them unless both are named.
-
-    Gaps and islands: a run starts at the first piece and at every piece that is
-    not tiny; inside a run a named piece starts a group of its own when a named
-    one came before. (path, grp, start_line, end_line, symbol, text, size, file_hash)"""
-    order = Window.partitionBy("path").orderBy("start_line")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = F.col("symbol") != ""
-    rows = piece.withColumn("run_start", (F.row_number().over(order) == 1) | (F.col("size") >= limits.least))
-    rows = rows.withColumn("run", F.sum(F.col("run_start").cast("int")).over(running))
-    in_run = Window.partitionBy("path", "run").orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(named.cast("int")).over(in_run), F.lit(0))
-    rows = rows.withColumn("starts", F.col("run_start") | (named & (before >= 1)))
-    rows = rows.withColumn("grp", F.sum(F.col("starts").cast("int")).over(running))
-    group = rows.groupBy("path", "grp").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min(F.when(named, F.struct("start_line", "symbol")))["symbol"].alias("symbol"), F.sum("size").cast("long").alias("size"), F.array_sort(F.collect_list(F.struct("start_line", "lines"))).alias("rows"), F.first("file_hash").alias("file_hash"))
-    text = F.concat(F.array_join(F.flatten(F.transform("rows", lambda r: r["lines"])), "\n"), F.lit("\n"))
-    return group.select("path", "grp", "start_line", "end_line", F.coalesce("symbol", F.lit("")).alias("symbol"), text.alias("text"), "size", "file_hash")
-
-
-def _emitted(group: DataFrame) -> DataFrame:
-    """Chunk rows of merged groups, blank ones dropped."""
-    group = group.where(~is_blank(F.col("text")))
-    return group.select(F.col("text").alias("source_text"), F.col("path").alias("file_path"), "start_line", "end_line", language(F.col("path")).alias("language"), F.col("symbol").alias("symbol_name"), chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("chunk_id"), F.col("file_hash").alias("file_content_hash"))
+    """C4: (path, blk, piece, start_line, end_line, symbol, size), each block one
+    piece; lines before the first start are block 0."""
+    return _by_batch(files, lambda b, path: _parts(b, b.blocks(), path), KIND)
 
 
-def chunk_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The chunks of (path, content) files, by patterns of lines."""
-    return _emitted(merged(pieces(blocks(files), limits), limits))
+def pieces(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same with oversize blocks split; the symbol stays on the first piece."""
+    most = limits.most
+    return _by_batch(files, lambda b, path: _parts(b, b.pieces(b.blocks(), most), path), KIND)
+
+
+def merged(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(path, grp, start_line, end_line, symbol, size), tiny pieces joined to what
+    is before them unless both are named."""
+    least, most = limits.least, limits.most
 
+    def make(b: Batch, path: pa.Array) -> pa.RecordBatch:
+        p = b.pieces(b.blocks(), most)
+        g, top = b.merged(p, least)
+        start, end = b.lines_of(g)
+        return pa.RecordBatch.from_arrays([path.take(pa.array(g.file)), pa.array(g.number), start, end, b.names(g.symbol), pa.array(b.sizes(p, top))], ["path", "grp", "start_line", "end_line", "symbol", "size"])
 
-def _defined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for path, lang, text in zip(*(b.column(c).to_pylist() for c in ("path", "lang", "content")), strict=True):
-            rows += [(path, first - 1, last, name) for first, last, name in syntax.definitions(text or "", lang) or []]
-        yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "end", "symbol"), r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("symbol", pa.string())]))
+    return _by_batch(files, make, "path string, grp long, start_line int, end_line int, symbol string, size long")
+
+
+def _chunked(files: DataFrame, make: Callable[[Batch], Parts], limits: Limits) -> DataFrame:
+    least, most = limits.least, limits.most
+    found = _by_batch(files, lambda b, path: chunks(b, make(b), path, least, most), "source_text string, file_path string, start_line int, end_line int, symbol_name string, chunk_id string, file_content_hash string")
+    return found.select("source_text", "file_path", "start_line", "end_line", language(F.col("file_path")).alias("language"), "symbol_name", "chunk_id", "file_content_hash")
+
+
+def chunk_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The chunks of (path, content) files, by patterns of lines."""
+    return _chunked(files, Batch.blocks, limits)
 
 
 def defined(files: DataFrame) -> DataFrame:
     """(path, start, end, symbol) of all definitions, lines from 0, ends
     exclusive; nothing for files that can't be read by structure."""
-    ship(files.sparkSession)
-    return files.select("path", language(F.col("path")).alias("lang"), "content").mapInArrow(_defined, "path string, start int, end int, symbol string")
+
+    def make(b: Batch, path: pa.Array) -> pa.RecordBatch:
+        rows = [(f, first - 1, last, name) for f, defs in enumerate(b.found()) for first, last, name in defs or []]
+        file, start, end, name = ([r[k] for r in rows] for k in range(4))
+        return pa.RecordBatch.from_arrays([path.take(pa.array(file, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(name, pa.string())], ["path", "start", "end", "symbol"])
+
+    return _by_batch(files, make, "path string, start int, end int, symbol string")
 
 
-def structured(definition: DataFrame, sizes: DataFrame) -> DataFrame:
+def structured(files: DataFrame) -> DataFrame:
     """(path, start, end, symbol) of the blocks of files that have
     definitions: the innermost ones, and unnamed ones for what lies before, between
-    and after them. ``sizes`` has path and n, the number of lines."""
-    order = Window.partitionBy("path").orderBy("start", "end")
-    before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    leaf = intervals.leaves(definition).withColumn("_from", before)
-    named = leaf.select("path", F.greatest("start", "_from").alias("start"), "end", "symbol")
-    between = leaf.select("path", F.col("_from").alias("start"), F.col("start").alias("end"), F.lit("").alias("symbol"))
-    after = leaf.groupBy("path").agg(F.max("end").alias("start")).join(sizes, "path").select("path", "start", F.col("n").alias("end"), F.lit("").alias("symbol"))
-    return named.unionByName(between).unionByName(after).where("start < end")
+    and after them."""
+
+    def make(b: Batch, path: pa.Array) -> pa.RecordBatch:
+        p = b.by_structure(b.found())
+        start, end = b.lines_of(p)
+        return pa.RecordBatch.from_arrays([path.take(pa.array(p.file)), pc.subtract(start, pa.scalar(1, pa.int32())), end, b.names(p.symbol)], ["path", "start", "end", "symbol"])
+
+    return _by_batch(files, make, "path string, start int, end int, symbol string")
 
 
 def chunk_by_structure(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Chunks whose blocks are innermost definitions and what lies between
     them; files without a definition that can be read are chunked by patterns."""
-    definition = defined(files)
-    rows = files.where(F.octet_length("content") > 0).select("path", _lines(F.col("content")).alias("all"), F.sha2("content", 256).substr(1, 16).alias("file_hash"))
-    block = structured(definition, rows.select("path", F.size("all").alias("n"))).join(rows, "path")
-    block = block.select("path", F.col("start").alias("blk"), (F.col("start") + 1).alias("start_line"), F.col("end").alias("end_line"), "symbol", F.slice("all", F.col("start") + 1, F.col("end") - F.col("start")).alias("lines"), "file_hash")
-    block = block.where(~is_blank(F.array_join("lines", "\n"))).withColumn("size", _size(F.col("lines")))
-    known = _emitted(merged(pieces(block, limits), limits))
-    return known.unionByName(chunk_files(files.join(definition.select("path").distinct(), "path", "left_anti"), limits))
+    return _chunked(files, Batch.structured, limits)
 
 
 def compared(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """For each file the chunks and named chunks of both chunkers."""
-    sums = lambda df, name: df.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias(f"{name}_chunks"), F.count_if(F.col("symbol_name") != "").alias(f"{name}_named"))
-    return sums(chunk_files(files, limits), "pattern").join(sums(chunk_by_structure(files, limits), "structure"), "path", "full_outer").na.fill(0)
+    """For each file with chunks the chunks and named chunks of both chunkers."""
+    least, most = limits.least, limits.most
+
+    def make(b: Batch, path: pa.Array) -> pa.RecordBatch:
+        sums = []
+        for p in (b.blocks(), b.structured()):
+            g, full = b.filled(b.pieces(p, most), least)
+            own = g.file[full]
+            sums += [np.bincount(own, minlength=len(path)), np.bincount(own, weights=g.symbol[full] >= 0, minlength=len(path)).astype(np.int64)]
+        out = pa.RecordBatch.from_arrays([path, *map(pa.array, sums)], ["path", "pattern_chunks", "pattern_named", "structure_chunks", "structure_named"])
+        return out.filter(pa.array((sums[0] > 0) | (sums[2] > 0)))
+
+    return _by_batch(files, make, "path string, pattern_chunks long, pattern_named long, structure_chunks long, structure_named long")
 
 
 def chunk_string(spark, source: str, path: str, limits: Limits = Limits()) -> DataFrame:
