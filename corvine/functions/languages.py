@@ -51,6 +51,27 @@ PATTERNS = {
     ],
 }
 
+#: First letters of the words that lines by the patterns start with; bytes a line may
+#: have before its first bracket; and a plainer form of the pattern with that bracket,
+#: for lines without ``template`` (its name is the word before the bracket either way).
+FIRST_LETTERS = {
+    "cpp": ["tem", "cla", "str", "nam"],
+    "python": ["asy", "def", "cla"],
+    "javascript": ["exp", "asy", "fun", "cla", "con", "let", "var"],
+    "java": ["pub", "pri", "pro", "sta", "fin", "abs", "cla", "int", "enu"],
+    "rust": ["pub", "asy", "fn", "str", "enu", "tra", "imp"],
+    "go": ["fun", "typ"],
+    "ruby": ["def", "cla", "mod"],
+    "csharp": ["pub", "pri", "pro", "int", "sta", "abs", "sea", "par", "cla", "str", "enu"],
+}
+FIRST_LETTERS["typescript"] = FIRST_LETTERS["javascript"]
+BEFORE_BRACKET = {"cpp": ":*&<>,", "java": "<>[],", "csharp": "<>[]?,"}
+CALLS = {
+    "cpp": rb"[\w:*&<>,\s]+\s(\w[\w:]*)\s*\([^;]*$",
+    "java": rb"(?:[ \t]|[\w<>\[\],\s]+\s)?(\w+)\s*\([^;]*$",
+    "csharp": rb"(?:[ \t]|[\w<>\[\]?,\s]+\s)?(\w+)\s*\([^;]*$",
+}
+
 
 def language(path: Column) -> Column:
     """The language of a path, ``unknown`` if there is none."""

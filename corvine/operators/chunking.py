@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.functions.arrow import lists, matrix, spread
+from corvine.functions.embed import HashingEmbedder
 from corvine.functions.languages import language
 from corvine.operators.cutting import Batch, Parts, chunks
 from corvine.session import ship, tune
@@ -113,15 +115,50 @@ def merged(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return _by_batch(files, make, "path string, grp long, start_line int, end_line int, symbol string, size long")
 
 
-def _chunked(files: DataFrame, make: Callable[[Batch], Parts], limits: Limits) -> DataFrame:
+def _chunked(files: DataFrame, make: Callable[[Batch], Parts], limits: Limits, hashed: bool = True) -> DataFrame:
     least, most = limits.least, limits.most
-    found = _by_batch(files, lambda b, path: chunks(b, make(b), path, least, most), "source_text string, file_path string, start_line int, end_line int, symbol_name string, chunk_id string, file_content_hash string")
-    return found.select("source_text", "file_path", "start_line", "end_line", language(F.col("file_path")).alias("language"), "symbol_name", "chunk_id", "file_content_hash")
+    found = _by_batch(files, lambda b, path: chunks(b, make(b), path, least, most, hashed), "source_text string, file_path string, start_line int, end_line int, symbol_name string, chunk_id string, file_content_hash string")
+    found = found if hashed else found.drop("file_content_hash")
+    return found.select("source_text", "file_path", "start_line", "end_line", language(F.col("file_path")).alias("language"), "symbol_name", "chunk_id", *["file_content_hash"] * hashed)
 
 
-def chunk_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The chunks of (path, content) files, by patterns of lines."""
-    return _chunked(files, Batch.blocks, limits)
+def chunk_files(files: DataFrame, limits: Limits = Limits(), hashed: bool = True) -> DataFrame:
+    """The chunks of (path, content) files, by patterns of lines; without
+    ``file_content_hash`` if not ``hashed``."""
+    return _chunked(files, Batch.blocks, limits, hashed)
+
+
+_FOUND = "file_path string, start_line int, end_line int, symbol_name string, chunk_id string"
+
+
+def _vectors_of(files: DataFrame, embedder: HashingEmbedder, limits: Limits, last: Callable[[pa.Array], pa.Array], kind: str) -> DataFrame:
+    least, most = limits.least, limits.most
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
+    def make(b: Batch, path: pa.Array) -> pa.RecordBatch:
+        c = chunks(b, b.blocks(), path, least, most, False)
+        return pa.RecordBatch.from_arrays([*map(c.column, names), last(embedder.units(c.column("source_text")))], [*names, kind.split()[0]])
+
+    return _by_batch(files, make, f"{_FOUND}, {kind}")
+
+
+def embedded_files(files: DataFrame, embedder: HashingEmbedder, limits: Limits = Limits()) -> DataFrame:
+    """The chunks by patterns with their vectors ``v`` for their texts, made
+    where the texts are."""
+    return _vectors_of(files, embedder, limits, lambda v: v, "v array<double>")
+
+
+def scored_files(files: DataFrame, embedder: HashingEmbedder, queries: list[list[float]], limits: Limits = Limits()) -> DataFrame:
+    """The same with the ``scores`` of a few queries of length one for the vectors;
+    null for chunks without a vector."""
+    q = np.array(queries, np.float64).reshape(len(queries), embedder.dimension)
+
+    def scores(v: pa.Array) -> pa.Array:
+        full = v.is_valid()
+        x = matrix(v.filter(full)).reshape(-1, q.shape[1])
+        return spread(lists(np.stack([(x * y).sum(axis=1) for y in q], axis=1) if len(q) else np.empty((len(x), 0))), full)
+
+    return _vectors_of(files, embedder, limits, scores, "scores array<double>")
 
 
 def defined(files: DataFrame) -> DataFrame:

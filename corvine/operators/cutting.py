@@ -18,34 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from corvine.functions import syntax
-from corvine.functions.languages import PATTERNS
+from corvine.functions.arrow import bytes_of, ranges, strings
+from corvine.functions.languages import BEFORE_BRACKET, CALLS, FIRST_LETTERS, PATTERNS
 
 _NONBLANK = re.compile(rb"[^ \t\r\n]")
 _FNV_START, _FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(2**40 + 435)
 _HEX = np.frombuffer("".join(f"{i:02x}" for i in range(256)).encode(), np.uint8).reshape(256, 2)
 
-#: First letters of the words that lines by the patterns start with; bytes a line may
-#: have before its first bracket; and a plainer form of the pattern with that bracket,
-#: for lines without ``template`` (its name is the word before the bracket either way).
-_WORDS = {
-    "cpp": ["tem", "cla", "str", "nam"],
-    "python": ["asy", "def", "cla"],
-    "javascript": ["exp", "asy", "fun", "cla", "con", "let", "var"],
-    "java": ["pub", "pri", "pro", "sta", "fin", "abs", "cla", "int", "enu"],
-    "rust": ["pub", "asy", "fn", "str", "enu", "tra", "imp"],
-    "go": ["fun", "typ"],
-    "ruby": ["def", "cla", "mod"],
-    "csharp": ["pub", "pri", "pro", "int", "sta", "abs", "sea", "par", "cla", "str", "enu"],
-}
-_WORDS["typescript"] = _WORDS["javascript"]
-_BEFORE = {"cpp": ":*&<>,", "java": "<>[],", "csharp": "<>[]?,"}
-_CALL = {
-    "cpp": rb"[\w:*&<>,\s]+\s(\w[\w:]*)\s*\([^;]*$",
-    "java": rb"(?:[ \t]|[\w<>\[\],\s]+\s)?(\w+)\s*\([^;]*$",
-    "csharp": rb"(?:[ \t]|[\w<>\[\]?,\s]+\s)?(\w+)\s*\([^;]*$",
-}
-
-
 @cache
 def _set(chars: str) -> np.ndarray:
     out = np.zeros(256, bool)
@@ -64,7 +43,7 @@ def _patterns(lang: str) -> list[re.Pattern]:
 
 @cache
 def _call(lang: str) -> re.Pattern:
-    return re.compile(_CALL[lang])
+    return re.compile(CALLS[lang])
 
 
 def _after(text: np.ndarray, at: np.ndarray, skip: np.ndarray) -> np.ndarray:
@@ -82,24 +61,9 @@ def _after(text: np.ndarray, at: np.ndarray, skip: np.ndarray) -> np.ndarray:
     return at
 
 
-def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an array of strings, and where each starts and the last ends."""
-    if not len(strings):
-        return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(strings.buffers()[1], np.int64 if pa.types.is_large_string(strings.type) else np.int32)
-    off = off[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    data = strings.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    return data[off[0] : off[-1]], off - off[0]
-
-
-def _strings(data: np.ndarray, off: np.ndarray) -> pa.Array:
-    return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
-
-
 def fnv1a(keys: pa.Array) -> pa.Array:
     """As ``corvine.functions.text.fnv1a``, a byte of all keys at a time."""
-    data, off = _bytes_of(keys)
+    data, off = bytes_of(keys)
     size = np.diff(off)
     order = np.argsort(-size, kind="stable")
     at, h, longest = off[:-1][order], np.full(len(size), _FNV_START), np.sort(size)
@@ -109,7 +73,7 @@ def fnv1a(keys: pa.Array) -> pa.Array:
     out = np.empty_like(h)
     out[order] = h
     digits = _HEX[out.astype(">u8").view(np.uint8)].reshape(-1)
-    return _strings(digits, np.arange(len(h) + 1) * 16)
+    return strings(digits, np.arange(len(h) + 1) * 16)
 
 
 @dataclass
@@ -130,7 +94,7 @@ class Batch:
 
     def __init__(self, content: pa.Array, langs: list[str]):
         self.langs, self.content = langs, content
-        text, off = _bytes_of(content)
+        text, off = bytes_of(content)
         bare = np.flatnonzero(text[off[1:] - 1] != 10)
         if len(bare):  # C1: the last line is closed as well
             text = np.insert(text, off[1:][bare], 10)
@@ -142,7 +106,7 @@ class Batch:
         self.ends = np.flatnonzero(text == 10) + 1
         self.starts = np.concatenate([[0], self.ends[:-1]])
         self.first = np.searchsorted(self.ends, off, "right")
-        self.symbols: list[str] = []
+        self.symbols: list[str | bytes] = []
 
     def blank(self, lines: np.ndarray) -> np.ndarray:
         """P14, for the lines of these numbers."""
@@ -150,7 +114,7 @@ class Batch:
 
     def hashes(self) -> pa.Array:
         """SHA-256 of each file as it was, 16 digits."""
-        data, off = _bytes_of(self.content)
+        data, off = bytes_of(self.content)
         view, off = memoryview(data), off.tolist()
         return pa.array([hashlib.sha256(view[a:b]).hexdigest()[:16] for a, b in zip(off, off[1:])], pa.string())
 
@@ -158,18 +122,18 @@ class Batch:
         """The lines among ``lines`` that a pattern of the language may take."""
         text, starts = self.text, self.starts[lines]
         at = starts if lang == "go" else _after(text, starts, _set(" \t"))
-        some = np.flatnonzero(_set("".join(w[0] for w in _WORDS[lang]))[text[at]])
+        some = np.flatnonzero(_set("".join(w[0] for w in FIRST_LETTERS[lang]))[text[at]])
         at, last, hit = at[some], len(text) - 1, np.zeros(len(some), bool)
         letters = [text[np.minimum(at + k, last)] for k in range(3)]
-        for w in _WORDS[lang]:
+        for w in FIRST_LETTERS[lang]:
             same = letters[0] == ord(w[0])
             for k, c in enumerate(w[1:], 1):
                 same &= letters[k] == ord(c)
             hit |= same
         found = np.zeros(len(lines), bool)
         found[some[hit]] = True
-        if lang in _BEFORE:
-            other = np.flatnonzero(~_set(_WORD_SPACE + _BEFORE[lang])[text])
+        if lang in BEFORE_BRACKET:
+            other = np.flatnonzero(~_set(_WORD_SPACE + BEFORE_BRACKET[lang])[text])
             bracket = other[np.searchsorted(other, starts)]
             calls = np.flatnonzero(text[bracket] == 40)
             stop = np.append(np.flatnonzero(text == 59), len(text))
@@ -197,15 +161,15 @@ class Batch:
                 out.append(found)
                 names.append(np.full(len(found), -1))
                 continue
-            patterns, kept = _patterns(lang), []
+            patterns, kept, text = _patterns(lang), [], self.text.tobytes()
             lines, odd = self._candidates(lines, lang), set(self._templates().tolist()) if lang == "cpp" else set()
             for k, a, z in zip(lines.tolist(), self.starts[lines].tolist(), (self.ends[lines] - 1).tolist()):
                 for i, p in enumerate(patterns):
-                    if i == 0 and lang in _CALL and k not in odd:
+                    if i == 0 and lang in CALLS and k not in odd:
                         p = _call(lang)
-                    if m := p.match(self.text, a, z):
+                    if m := p.match(text, a, z):
                         kept.append(k)
-                        self.symbols.append(m[1].decode())
+                        self.symbols.append(m[1])
                         break
             out.append(np.array(kept, np.int64))
             names.append(np.arange(len(self.symbols) - len(kept), len(self.symbols)))
@@ -317,13 +281,13 @@ class Batch:
         data = self.text
         if self.size(p).sum() < len(data):
             data = data[ranges(self.starts[p.a], self.ends[p.z - 1])]
-        return _strings(data, np.append(0, np.cumsum(self.sizes(p, top))))
+        return strings(data, np.append(0, np.cumsum(self.sizes(p, top))))
 
 
     def full(self, texts: pa.Array) -> np.ndarray:
         """Which texts are not blank."""
-        data, off = _bytes_of(texts)
-        off = off.tolist()
+        data, off = bytes_of(texts)
+        data, off = data.tobytes(), off.tolist()
         return np.array([_NONBLANK.search(data, a, z) is not None for a, z in zip(off, off[1:])], bool)
 
     def filled(self, p: Parts, least: int) -> tuple[Parts, np.ndarray]:
@@ -337,12 +301,6 @@ def _sorted(p: Parts) -> Parts:
     return Parts(*(x[order] for x in vars(p).values()))
 
 
-def ranges(a: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """The whole numbers of all [a, z), one range after the other."""
-    size = z - a
-    return np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def innermost(found: list[tuple[int, int, str]], n: int) -> list[tuple[int, int, str]]:
     """C11-C13 of a file of ``n`` lines: (start, end, symbol), lines from 0, ends
     exclusive, of definitions that hold no other and unnamed blocks around them."""
@@ -364,8 +322,9 @@ def innermost(found: list[tuple[int, int, str]], n: int) -> list[tuple[int, int,
     return out + [(at, n, "")] * (at < n)
 
 
-def chunks(b: Batch, p: Parts, path: pa.Array, least: int, most: int) -> pa.RecordBatch:
-    """The chunks of the blocks ``p``, blank ones dropped."""
+def chunks(b: Batch, p: Parts, path: pa.Array, least: int, most: int, hashed: bool = True) -> pa.RecordBatch:
+    """The chunks of the blocks ``p``, blank ones dropped; without the hashes
+    of files, which cost as much as the blocks, if not ``hashed``."""
     p = b.pieces(p, most)
     g, top = b.merged(p, least)
     text = b.texts(p, top)
@@ -373,5 +332,6 @@ def chunks(b: Batch, p: Parts, path: pa.Array, least: int, most: int) -> pa.Reco
     start, end = b.lines_of(g)
     own = path.take(pa.array(g.file))
     key = fnv1a(pc.binary_join_element_wise(own, start.cast(pa.string()), end.cast(pa.string()), ":"))
-    out = pa.RecordBatch.from_arrays([text, own, start, end, b.names(g.symbol), key, b.hashes().take(pa.array(g.file))], ["source_text", "file_path", "start_line", "end_line", "symbol_name", "chunk_id", "file_content_hash"])
+    file = b.hashes().take(pa.array(g.file)) if hashed else pa.nulls(len(own), pa.string())
+    out = pa.RecordBatch.from_arrays([text, own, start, end, b.names(g.symbol), key, file], ["source_text", "file_path", "start_line", "end_line", "symbol_name", "chunk_id", "file_content_hash"])
     return out if full.all() else out.filter(pa.array(full))

@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.functions.arrow import matrix, spread
 from corvine.functions.text import dot, l2_normalize
 from corvine.session import ship
 
@@ -147,9 +149,42 @@ def _extremes(ids: np.ndarray, queries: np.ndarray, labels: np.ndarray):
     return run
 
 
-def searched(vectors: DataFrame, query: Column, k: int, ties: list[str]) -> DataFrame:
-    """One query as an expression: its ``k`` best rows by partial top-k."""
-    scored = vectors.withColumn("score", F.round(dot(l2_normalize(F.col("v")), query), 6) + 0.0)
+def inner(v: Column, q: Column) -> Column:
+    """A6 by Arrow batches; null where a vector is."""
+
+    @F.arrow_udf("double")
+    def product(v: pa.Array, q: pa.Array) -> pa.Array:
+        full = pc.and_(v.is_valid(), q.is_valid())
+        x, y = matrix(v.filter(full)), matrix(q.filter(full))
+        return spread((x * y).sum(axis=1), full)
+
+    return product.asNondeterministic()(v, q)
+
+
+def cosines(v: Column, query: list[float]) -> Column:
+    """Inner products of one vector with vectors brought to length one, by Arrow
+    batches; null where a vector is null or has no length."""
+    q = np.array(query, np.float64)
+
+    @F.arrow_udf("double")
+    def product(v: pa.Array) -> pa.Array:
+        full = v.is_valid()
+        x = matrix(v.filter(full)).astype(np.float64)
+        s = (x * x).sum(axis=1)
+        score = pa.array((x / np.sqrt(np.where(s >= 1e-12, s, 1.0))[:, None]) @ q, mask=s < 1e-12)
+        return spread(score, full)
+
+    return product.asNondeterministic()(v)
+
+
+def searched(vectors: DataFrame, query: Column | list[float], k: int, ties: list[str]) -> DataFrame:
+    """One query, an expression or a vector: its ``k`` best rows by partial top-k."""
+    score = cosines(F.col("v"), query) if isinstance(query, list) else dot(l2_normalize(F.col("v")), query)
+    return best(vectors.withColumn("score", F.round(score, 6) + 0.0), k, ties)
+
+
+def best(scored: DataFrame, k: int, ties: list[str]) -> DataFrame:
+    """L1: the ``k`` rows of largest score."""
     return scored.where("score is not null").orderBy(F.desc("score"), *ties).limit(k)
 
 

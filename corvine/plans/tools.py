@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions.embed import HashingEmbedder
-from corvine.functions.text import ascii_lower, basename, contains_all_words, contains_icase, dot, l2_normalize, relative_path, session_keywords
+from corvine.functions.text import ascii_lower, basename, contains_all_words, contains_icase, l2_normalize, relative_path, session_keywords
 from corvine.operators.changes import first_wins
-from corvine.operators.vectors import ranked, searched
-from corvine.session import ship
+from corvine.operators.vectors import inner, ranked, searched
+from corvine.session import ship, tune
 
 
 def output_rows(rows: DataFrame, root: Column, many_projects: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
@@ -28,8 +31,9 @@ def embedded(chunks: DataFrame, embedder: HashingEmbedder | None = None) -> Data
     """(project, chunk_id, v) of chunk texts; texts without a word have
     a null vector and stay findable by symbol."""
     ship(chunks.sparkSession)
-    raw = chunks.select("project", "chunk_id", (embedder or HashingEmbedder()).embed(F.col("source_text")).alias("v"))
-    return raw.withColumn("v", l2_normalize(F.col("v")))
+    tune(chunks.sparkSession)
+    e, text = embedder or HashingEmbedder(), F.col("source_text")
+    return chunks.select("project", "chunk_id", (e.unit(text) if isinstance(e, HashingEmbedder) else l2_normalize(e.embed(text))).alias("v"))
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -38,25 +42,30 @@ def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.withColumn("warning", F.when(F.col("file_path").isNull(), "chunk metadata not found"))
 
 
-def search_code(chunks: DataFrame, vectors: DataFrame, query: str, limit: int = 10, embedder: HashingEmbedder | None = None) -> DataFrame:
-    """T-1: the ``limit`` best chunks of all projects for a text."""
+def asked(query: str, embedder: HashingEmbedder) -> list[float]:
+    """The vector of a query, of length one."""
     if not query:
         raise ValueError("query is required")
-    if limit < 0:
-        raise ValueError("limit is negative")
-    q = (embedder or HashingEmbedder()).embed_text(query)
+    q = embedder.embed_text(query)
     length = sum(x * x for x in q) ** 0.5
     if not length:
         raise ValueError("query has no words")
-    wanted = F.array(*[F.lit(x / length) for x in q])
+    return [x / length for x in q]
+
+
+def search_code(chunks: DataFrame, vectors: DataFrame, query: str, limit: int = 10, embedder: HashingEmbedder | None = None) -> DataFrame:
+    """T-1: the ``limit`` best chunks of all projects for a text."""
+    wanted = asked(query, embedder or HashingEmbedder())
+    if limit < 0:
+        raise ValueError("limit is negative")
     hits = searched(vectors, wanted, limit, ["project", "chunk_id"]).select("project", "chunk_id", "score")
-    return with_chunks(hits, chunks).orderBy(F.desc("score"), "project", "chunk_id")
+    few = F.broadcast(hits.select("project", "chunk_id"))  # chunks are not shuffled for a few hits
+    return with_chunks(hits, chunks.join(few, ["project", "chunk_id"], "left_semi")).orderBy(F.desc("score"), "project", "chunk_id")
 
 
 def of_kind(text: Column, kind: str) -> Column:
     """What a chunk's text looks like; unknown kinds take all."""
-    low = ascii_lower(text)
-    has = lambda x: F.contains(low, F.lit(x))
+    has = lambda x: F.rlike(text, F.lit(f"(?i){re.escape(x)}"))  # noqa: E731  (ASCII letters only, and no copy of the text)
     if kind == "function":
         return has("def ") | has("function ") | has("fn ") | (has("(") & ~has("class ") & ~has("struct "))
     if kind == "class":
@@ -70,6 +79,7 @@ def search_symbol(chunks: DataFrame, name: str, kind: str = "any") -> DataFrame:
     if not name:
         raise ValueError("name is required")
     found = chunks.where((F.col("symbol_name") != "") & contains_icase(F.col("symbol_name"), F.lit(name)) & of_kind(F.col("source_text"), kind))
+    found = found.repartition(F.col("chunk_id"))  # else the chunks are made once more, to sample them for the order
     return found.orderBy("project", "file_path", "start_line", "chunk_id")
 
 
@@ -86,24 +96,56 @@ def in_window(line: Column, radius: Column) -> Column:
     return ~((F.col("end_line") < F.greatest(F.lit(1), line - radius)) | (F.col("start_line") > line + radius))
 
 
+def maybe_named(path: Column, file: str) -> Column:
+    """True of all paths that ``file_tier`` may take for ``file``, and of few others."""
+    return F.rlike(path, F.lit(f"(?i){re.escape(file.rsplit('/', 1)[-1])}\\z"))
+
+
+def _near(file: str, line: int, radius: int, root: str) -> Column:
+    if not file:
+        raise ValueError("file is required")
+    near = maybe_named(F.col("file_path"), file) & file_tier(F.col("file_path"), F.lit(root), F.lit(file)).isNotNull()
+    return near & in_window(F.lit(line), F.lit(radius)) if line > 0 else near
+
+
+def _context(local: DataFrame, others: DataFrame) -> DataFrame:
+    out = local.withColumns({"score": F.lit(None).cast("double"), "relation": F.lit("local")}).unionByName(others.withColumn("relation", F.lit("related")))
+    return out.orderBy("relation", F.desc("score"), "project", "file_path", "start_line", "chunk_id")
+
+
 def get_context(chunks: DataFrame, vectors: DataFrame, file: str, line: int = 0, radius: int = 50, root: str = "", related: int = 5) -> DataFrame:
     """T-3: chunks of a file near a line (all of them for line 0), and up to
     ``related`` chunks of each project nearest to the first of them there,
     without those (L10, J2, J3). ``relation`` is local or related."""
-    if not file:
-        raise ValueError("file is required")
-    near = file_tier(F.col("file_path"), F.lit(root), F.lit(file)).isNotNull()
-    if line > 0:
-        near = near & in_window(F.lit(line), F.lit(radius))
-    local = chunks.where(near)
+    local = chunks.where(_near(file, line, radius, root))
     seeds = local.groupBy("project").agg(F.min(F.struct("file_path", "start_line", "chunk_id"))["chunk_id"].alias("chunk_id"))
-    seeds = seeds.join(vectors.select("project", "chunk_id", F.col("v").alias("q")), ["project", "chunk_id"]).select("project", "q")
-    scored = vectors.where("v is not null").join(seeds, "project").withColumn("score", F.round(dot(F.col("v"), F.col("q")), 6) + 0.0)
-    best = ranked(scored, related, ["project"], ["chunk_id"]).select("project", "chunk_id", "score")
-    best = best.join(local.select("project", "chunk_id"), ["project", "chunk_id"], "left_anti")
-    others = best.join(chunks, ["project", "chunk_id"])
-    out = local.withColumns({"score": F.lit(None).cast("double"), "relation": F.lit("local")}).unionByName(others.withColumn("relation", F.lit("related")))
-    return out.orderBy("relation", F.desc("score"), "project", "file_path", "start_line", "chunk_id")
+    # what is few is sent to all tasks, so that neither vectors nor chunks are shuffled
+    seeds = vectors.select("project", "chunk_id", F.col("v").alias("q")).join(F.broadcast(seeds), ["project", "chunk_id"]).select("project", "q")
+    scored = vectors.join(F.broadcast(seeds), "project").withColumn("score", F.round(inner(F.col("v"), F.col("q")), 6) + 0.0)
+    best = ranked(scored.where("score is not null"), related, ["project"], ["chunk_id"]).select("project", "chunk_id", "score")
+    best = best.join(F.broadcast(local.select("project", "chunk_id")), ["project", "chunk_id"], "left_anti")
+    return _context(local, chunks.join(F.broadcast(best), ["project", "chunk_id"]))
+
+
+def context_of_files(own: DataFrame, scored: Callable[[list[list[float]]], DataFrame], file: str, line: int = 0, radius: int = 50, root: str = "", related: int = 5) -> DataFrame:
+    """The same for chunks that are not stored. ``own`` has chunks and vectors ``v`` of
+    files that may be that one, ``scored`` gives all chunks with their ``scores`` for
+    vectors. The few chunks near the line go to the driver."""
+    spark, shown = own.sparkSession, [c for c in own.columns if c != "v"]
+    near = own.where(_near(file, line, radius, root))
+    rows = near.collect()
+    local = spark.createDataFrame([tuple(r[c] for c in shown) for r in rows], near.select(*shown).schema)
+    seeds = {}
+    for r in sorted(rows, key=lambda r: (r.file_path, r.start_line, r.chunk_id)):
+        seeds.setdefault(r.project, r.v)
+    seeds = {p: v for p, v in seeds.items() if v is not None}
+    all_rows = scored(list(seeds.values()))
+    own_score = F.lit(None).cast("double")
+    for k, p in enumerate(seeds):
+        own_score = F.when(F.col("project") == p, F.col("scores")[k]).otherwise(own_score)
+    found = all_rows.select(*shown, (F.round(own_score, 6) + 0.0).alias("score")).where("score is not null")
+    best = ranked(found, related, ["project"], ["chunk_id"]).drop("rank")
+    return _context(local, best.join(F.broadcast(local.select("project", "chunk_id")), ["project", "chunk_id"], "left_anti"))
 
 
 def get_session_memory(stores: list[DataFrame], query: str = "") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.functions.languages import PRUNED, SCANNED
@@ -71,11 +71,14 @@ def code_corpus(lineitem: DataFrame, ext: str) -> DataFrame:
     """(path, content): a source file for every order, a block for every line
     item, of a size that differs from block to block."""
     before, after = HEADERS[ext].format(name="\0").split("\0")
-    body = F.repeat(F.concat(F.lit("    total = q * "), F.col("l_partkey").cast("string"), F.lit("\n")), (F.col("l_suppkey") % 13).cast("int"))
-    block = F.concat(F.lit(f"{before}item_"), F.col("l_linenumber").cast("string"), F.lit(f"{after}\n"), body, F.when(F.col("l_linenumber") % 3 == 0, F.repeat(F.lit("    value = part.lookup(total, region)\n"), 70)).otherwise(""), F.lit("\n"))
-    # orders are dealt while they are still numbers: the text made of them is twenty times larger
+
+    def block(x: Column) -> Column:
+        body = F.repeat(F.concat(F.lit("    total = q * "), x["l_partkey"].cast("string"), F.lit("\n")), (x["l_suppkey"] % 13).cast("int"))
+        return F.concat(F.lit(f"{before}item_"), x["l_linenumber"].cast("string"), F.lit(f"{after}\n"), body, F.when(x["l_linenumber"] % 3 == 0, "    value = part.lookup(total, region)\n" * 70).otherwise(""), F.lit("\n"))
+
+    # orders are dealt and grouped while they are numbers: the text made of them is twenty times larger
     tasks = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     items = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition(tasks, "l_orderkey")
-    files = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", block.alias("block")))).alias("b"))
-    text = F.concat(F.lit("# order\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), ""))
+    files = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("b"))
+    text = F.concat(F.lit("# order\n\n"), F.array_join(F.transform("b", block), ""))
     return files.select(F.concat(F.lit("src/order_"), F.col("l_orderkey").cast("string"), F.lit(f".{ext}")).alias("path"), text.alias("content"))
