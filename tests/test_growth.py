@@ -28,6 +28,7 @@ def plan(df) -> str:
 SHUFFLES = {
     "c8_chunks": 1,
     "t1_search_code": 1,
+    "p2_output_projection": 1,
 }
 
 
