@@ -29,6 +29,7 @@ SHUFFLES = {
     "c8_chunks": 1,
     "t1_search_code": 1,
     "p2_output_projection": 1,
+    "t2_search_symbol_any": 3,
 }
 
 
