@@ -30,6 +30,7 @@ SHUFFLES = {
     "t1_search_code": 1,
     "p2_output_projection": 1,
     "t2_search_symbol_any": 3,
+    "t2_search_symbol_function": 3,
 }
 
 
