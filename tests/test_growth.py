@@ -31,6 +31,7 @@ SHUFFLES = {
     "p2_output_projection": 1,
     "t2_search_symbol_any": 3,
     "t2_search_symbol_function": 3,
+    "a3_index_totals": 3,
 }
 
 
