@@ -32,6 +32,7 @@ SHUFFLES = {
     "t2_search_symbol_any": 3,
     "t2_search_symbol_function": 3,
     "a3_index_totals": 3,
+    "t3_get_context": 3,
 }
 
 
