@@ -33,6 +33,7 @@ SHUFFLES = {
     "t2_search_symbol_function": 3,
     "a3_index_totals": 3,
     "t3_get_context": 3,
+    "c2_regex_boundaries_java": 1,
 }
 
 
