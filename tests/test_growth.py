@@ -34,6 +34,7 @@ SHUFFLES = {
     "a3_index_totals": 3,
     "t3_get_context": 3,
     "c2_regex_boundaries_java": 1,
+    "p11_line_window": 3,
 }
 
 
