@@ -35,6 +35,7 @@ SHUFFLES = {
     "t3_get_context": 3,
     "c2_regex_boundaries_java": 1,
     "p11_line_window": 3,
+    "t2_search_symbol_class": 3,
 }
 
 
