@@ -36,6 +36,7 @@ SHUFFLES = {
     "c2_regex_boundaries_java": 1,
     "p11_line_window": 3,
     "t2_search_symbol_class": 3,
+    "c3_blank_boundaries": 1,
 }
 
 
