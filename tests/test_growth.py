@@ -37,6 +37,7 @@ SHUFFLES = {
     "p11_line_window": 3,
     "t2_search_symbol_class": 3,
     "c3_blank_boundaries": 1,
+    "c6_merge": 1,
 }
 
 
