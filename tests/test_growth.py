@@ -38,6 +38,7 @@ SHUFFLES = {
     "t2_search_symbol_class": 3,
     "c3_blank_boundaries": 1,
     "c6_merge": 1,
+    "c2_regex_boundaries_cpp": 1,
 }
 
 
