@@ -39,6 +39,7 @@ SHUFFLES = {
     "c3_blank_boundaries": 1,
     "c6_merge": 1,
     "c2_regex_boundaries_cpp": 1,
+    "c2_regex_boundaries_cs": 1,
 }
 
 
