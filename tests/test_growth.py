@@ -40,6 +40,7 @@ SHUFFLES = {
     "c6_merge": 1,
     "c2_regex_boundaries_cpp": 1,
     "c2_regex_boundaries_cs": 1,
+    "c5_split": 1,
 }
 
 
