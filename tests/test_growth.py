@@ -41,6 +41,7 @@ SHUFFLES = {
     "c2_regex_boundaries_cpp": 1,
     "c2_regex_boundaries_cs": 1,
     "c5_split": 1,
+    "c2_regex_boundaries_go": 1,
 }
 
 
