@@ -43,6 +43,7 @@ SHUFFLES = {
     "c5_split": 1,
     "c2_regex_boundaries_go": 1,
     "j13_two_chunkers": 2,
+    "c13_structured_blocks": 1,
 }
 
 
