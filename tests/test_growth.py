@@ -44,6 +44,7 @@ SHUFFLES = {
     "c2_regex_boundaries_go": 1,
     "j13_two_chunkers": 2,
     "c13_structured_blocks": 1,
+    "c9_c10_definitions": 1,
 }
 
 
