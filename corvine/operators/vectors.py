@@ -21,8 +21,8 @@ from corvine.functions.text import dot, l2_normalize
 from corvine.session import ship
 
 QUERY_BLOCK = 4096
-#: Vectors scored at a time, so that a block's scores stay within 32 MB.
-SLICE = 1024
+#: Scores made at a time, 8 MB, whatever the number of queries in a block.
+SCORES = 1 << 20
 
 
 def normalized(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -47,6 +47,12 @@ def _first(q: np.ndarray, g: np.ndarray, own: np.ndarray, s: np.ndarray, k: int)
     return q[keep], g[keep], own[keep], s[keep]
 
 
+def _slices(b: pa.RecordBatch, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = max(1, SCORES // max(1, len(queries)))
+    for start in range(0, b.num_rows, step):
+        yield b.slice(start, step)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
@@ -58,10 +64,9 @@ def _matrix(ids: np.ndarray, queries: np.ndarray, k: int, candidates: Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in batches:
-            for start in range(0, b.num_rows, SLICE):
-                part = b.slice(start, SLICE)
+            for part in _slices(b, queries):
                 own, group = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "group"))
-                x = _unit(np.array(part.column("v").to_pylist(), np.float64))
+                x = _unit(matrix(part.column("v")).astype(np.float64))
                 s = np.round(queries @ x.T, 6) + 0.0
                 if candidates is not None:
                     s[~candidates(x)] = -np.inf
@@ -137,10 +142,9 @@ def _extremes(ids: np.ndarray, queries: np.ndarray, labels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, most = np.inf, -np.inf
         for b in batches:
-            for start in range(0, b.num_rows, SLICE):
-                part = b.slice(start, SLICE)
+            for part in _slices(b, queries):
                 own, label = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
-                s = np.round(queries @ _unit(np.array(part.column("v").to_pylist(), np.float64)).T, 6) + 0.0
+                s = np.round(queries @ _unit(matrix(part.column("v")).astype(np.float64)).T, 6) + 0.0
                 other, same = ids[:, None] != own, labels[:, None] == label
                 least = min(least, s[other & same].min(initial=np.inf))
                 most = max(most, s[other & ~same].max(initial=-np.inf))

@@ -95,3 +95,13 @@ def test_definitions_look_at_few_lines():
     began = time.time()
     assert syntax.definitions(text, "javascript") == [(1, 20002, "f")]
     assert len(list(syntax._some_lines("javascript").finditer(text))) == 1 and time.time() - began < 5
+
+
+def test_scores_of_a_slice_are_bounded():
+    rng = np.random.default_rng(1)
+    v, q = rng.normal(size=(3000, 8)), rng.normal(size=(vectors.QUERY_BLOCK, 8))
+    b = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(np.zeros(3000, np.int64)), pa.array(v.tolist())], ["id", "group", "v"])
+    seen = []
+    look = lambda x: seen.append(len(x)) or np.ones((len(q), len(x)), bool)
+    list(vectors._matrix(np.arange(len(q)), q, 3, look)([b]))
+    assert sum(seen) == 3000 and max(seen) * len(q) * 8 <= 8 << 20
