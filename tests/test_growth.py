@@ -45,6 +45,7 @@ SHUFFLES = {
     "j13_two_chunkers": 2,
     "c13_structured_blocks": 1,
     "c9_c10_definitions": 1,
+    "c2_regex_boundaries_py": 1,
 }
 
 
