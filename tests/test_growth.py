@@ -46,6 +46,7 @@ SHUFFLES = {
     "c13_structured_blocks": 1,
     "c9_c10_definitions": 1,
     "c2_regex_boundaries_py": 1,
+    "c2_regex_boundaries_rs": 1,
 }
 
 
