@@ -47,6 +47,7 @@ SHUFFLES = {
     "c9_c10_definitions": 1,
     "c2_regex_boundaries_py": 1,
     "c2_regex_boundaries_rs": 1,
+    "c2_regex_boundaries_rb": 1,
 }
 
 
